@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colsieve.functions.hashing import u01
-from colsieve.operators import inject, metrics, prep, select, semantic, split, stats, target as targets
-from colsieve.operators.profile import parsed_number
+from colsieve.operators import inject, metrics, select, semantic, split, stats, target as targets
 from colsieve.plans.experiment import offline_semantic
 from colsieve.plans.settle import settle
 from colsieve.sources.snapshots import LabelledTable, TableSpec, labelled
@@ -120,6 +119,10 @@ def order_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return raw.withColumn("leakage_risk", risk.otherwise(F.col("leakage_risk")))
 
 
+def with_run_seeds(df: DataFrame) -> DataFrame:
+    return split.with_seeds(df, SEEDS)
+
+
 def role_means(spark: SparkSession, sf: str, role: str) -> DataFrame:
     raw = order_semantic(spark, sf).where(F.col("scoring_role") == role)
     return split.with_seeds(semantic.aggregate_prompts(raw, ["dataset"]), SEEDS)
