@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.feature import VectorSlicer
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colsieve.functions.scores import close, or_zero
 from colsieve.operators.prep import Encoder, fit_encoder
-from colsieve.operators.target import with_label_index
+from colsieve.operators.target import label_text
 from colsieve.plans.settle import attach, settle
 
 TREES = 300
@@ -21,19 +22,40 @@ CLOSE_RELATIVE, CLOSE_ABSOLUTE = 1e-5, 1e-8
 STRICT_RELATIVE = 1e-9
 
 
-def balance_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight`` = rows / (classes * rows of the class), over the whole table."""
-    counts = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+def label_weights(train: DataFrame, target: str) -> DataFrame:
+    """(_label, label, weight): class numbers in text order; weight = rows / (classes * rows of the class)."""
+    counts = settle(train.groupBy(label_text(target).alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    weights = counts.select(label, (F.lit(float(totals["n"])) / (F.lit(float(totals["k"])) * F.col("_n"))).alias("weight"))
-    return attach(df, weights, [label], "inner")
+    return counts.select(
+        "_label", (F.row_number().over(Window.orderBy("_label")) - 1).cast("double").alias("label"),
+        (F.lit(float(totals["n"])) / (F.lit(float(totals["k"])) * F.col("_n"))).alias("weight"),
+    )
+
 
+@dataclass(frozen=True)
+class Prepared:
+    """Encoded training rows (label, weight, features), written once, and the encoder that made them."""
+
+    encoder: Encoder
+    rows: DataFrame
 
-def training_rows(train: DataFrame, features: Sequence[str], target: str, encoder: Encoder) -> DataFrame:
-    """(label, weight, features): written once, because fits read it many times."""
-    indexed = with_label_index(train.select(*features, target), target, "label")
-    weighted = balance_weights(indexed.withColumn("label", F.col("label").cast("double")), "label")
-    return settle(encoder.transform(weighted).select("label", "weight", "features"))
+    def only(self, features: Sequence[str]) -> DataFrame:
+        """The rows cut to the slots of some features."""
+        return slice_features(self.rows, self.encoder, features)
+
+
+def slice_features(encoded: DataFrame, encoder: Encoder, features: Sequence[str]) -> DataFrame:
+    cut = VectorSlicer(inputCol="features", outputCol="_cut", indices=encoder.slots_of(features)).transform(encoded)
+    return cut.drop("features").withColumnRenamed("_cut", "features")
+
+
+def prepare(
+    train: DataFrame, features: Sequence[str], target: str, scale_numeric: bool = False, encoder: Encoder | None = None
+) -> Prepared:
+    encoder = encoder or fit_encoder(train, features, scale_numeric)
+    keyed = train.select(*features, label_text(target).alias("_label"))
+    weighted = attach(keyed, label_weights(train, target), ["_label"], "inner")
+    return Prepared(encoder, settle(encoder.transform(weighted).select("label", "weight", "features")))
 
 
 def slot_scores(spark: SparkSession, encoder: Encoder, values: Sequence[float]) -> DataFrame:
@@ -74,57 +96,37 @@ def normalise(
     return attach(filled, ends, by, "inner").withColumn(output, scaled).drop("_v", "_low", "_high")
 
 
-def _finished(scores: DataFrame, dataset: str, seed: int, scorer: str, strict: bool = False) -> DataFrame:
-    tagged = scores.select(
+def _tagged(scores: DataFrame, dataset: str, seed: int, scorer: str) -> DataFrame:
+    return scores.select(
         F.lit(dataset).alias("dataset"), F.lit(int(seed)).alias("seed"), F.lit(scorer).alias("scorer"), "feature", "importance"
     )
-    return normalise(tagged, ["dataset", "seed", "scorer"], strict=strict)
 
 
-@dataclass(frozen=True)
-class Prepared:
-    """Encoded training rows and the encoder that made them."""
-
-    encoder: Encoder
-    rows: DataFrame
-
-
-def prepare(train: DataFrame, features: Sequence[str], target: str, scale_numeric: bool = False) -> Prepared:
-    encoder = fit_encoder(train, features, scale_numeric)
-    return Prepared(encoder, training_rows(train, features, target, encoder))
+def forest(seed: int, trees: int, max_depth: int) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed
+    )
 
 
-def forest_scores(
-    train: Prepared,
-    dataset: str = "table",
-    seed: int = 42,
-    trees: int = TREES,
-    max_depth: int = MAX_DEPTH,
-    strict: bool = False,
+def forest_importances(
+    train: Prepared, dataset: str = "table", seed: int = 42, trees: int = TREES, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """Random-forest importances.
+    """Random-forest importances, not normalised.
 
     Class weights are global, not per bootstrap sample, and trees are at most 30
     deep: values differ from other forests, clear signals keep their order.
     """
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed
-    )
-    model = forest.fit(train.rows)
+    model = forest(seed, trees, max_depth).fit(train.rows)
     slots = slot_scores(train.rows.sparkSession, train.encoder, model.featureImportances.toArray())
-    return _finished(fold_slots(slots), dataset, seed, "forest", strict)
+    return _tagged(fold_slots(slots), dataset, seed, "forest")
 
 
-def logistic_scores(
-    train: Prepared,
-    penalty: str = "l2",
-    dataset: str = "table",
-    seed: int = 42,
-    max_iterations: int = MAX_ITERATIONS,
+def logistic_importances(
+    train: Prepared, penalty: str = "l2", dataset: str = "table", seed: int = 42, max_iterations: int = MAX_ITERATIONS
 ) -> DataFrame:
-    """Mean absolute coefficient over the classes, penalty weight 1 per summed row weight.
+    """Mean absolute coefficient over the classes, not normalised. Needs rows prepared with ``scale_numeric``.
 
-    Fit on rows prepared with ``scale_numeric``. The intercept is not penalised;
+    The penalty weighs 1 per summed row weight. The intercept is not penalised;
     more than two classes are fitted together.
     """
     if penalty not in ("l1", "l2"):
@@ -139,7 +141,12 @@ def logistic_scores(
     ).fit(train.rows)
     means = abs(model.coefficientMatrix.toArray()).mean(axis=0)
     slots = slot_scores(train.rows.sparkSession, train.encoder, means)
-    return _finished(fold_slots(slots), dataset, seed, "lasso" if penalty == "l1" else "logreg")
+    return _tagged(fold_slots(slots), dataset, seed, "lasso" if penalty == "l1" else "logreg")
+
+
+def normalise_scorers(importances: DataFrame, strict: bool = False) -> DataFrame:
+    """Scores of any number of tables, seeds and scorers, each scaled by itself."""
+    return normalise(importances, ["dataset", "seed", "scorer"], strict=strict)
 
 
 def association_scores(

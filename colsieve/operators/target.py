@@ -43,7 +43,7 @@ def _only_two_values(df: DataFrame, value: Column, low, high) -> bool:
     return df.where((value > F.lit(low)) & (value < F.lit(high))).limit(1).isEmpty()
 
 
-def _as_text(target: str) -> Column:
+def label_text(target: str) -> Column:
     return F.coalesce(F.col(target).cast("string"), F.lit(MISSING_TEXT))
 
 
@@ -63,8 +63,8 @@ def injection_bit(df: DataFrame, target: str) -> Column:
     the median. Text: 1 is the greatest label.
     """
     if not is_numeric(df.schema[target].dataType):
-        _, high = _ends(df, _as_text(target))
-        return _bit(_as_text(target) == F.lit(high))
+        _, high = _ends(df, label_text(target))
+        return _bit(label_text(target) == F.lit(high))
     low, high = _ends(df, number(target))
     if low is not None and low != high and _only_two_values(df, number(target), low, high):
         return _bit(number(target) == F.lit(high))
@@ -78,8 +78,8 @@ def metric_bit(df: DataFrame, target: str) -> Column:
     text column with a single value all 0.
     """
     if not is_numeric(df.schema[target].dataType):
-        low, high = _ends(df, _as_text(target))
-        return _bit(F.lit(low != high) & (_as_text(target) == F.lit(high)))
+        low, high = _ends(df, label_text(target))
+        return _bit(F.lit(low != high) & (label_text(target) == F.lit(high)))
     low, high = _ends(df, number(target))
     if low is not None and _only_two_values(df, number(target), low, high):
         return _bit(number(target) == F.lit(high))
@@ -88,11 +88,11 @@ def metric_bit(df: DataFrame, target: str) -> Column:
 
 def label_numbers(df: DataFrame, target: str) -> DataFrame:
     """(label, label_index): the distinct labels as text, numbered from 0 in order."""
-    labels = df.select(_as_text(target).alias("label")).distinct()
+    labels = df.select(label_text(target).alias("label")).distinct()
     return labels.withColumn("label_index", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
 
 
 def with_label_index(df: DataFrame, target: str, output: str = "label_index") -> DataFrame:
-    rows = df.withColumn("_label", _as_text(target))
+    rows = df.withColumn("_label", label_text(target))
     numbers = label_numbers(df, target).select(F.col("label").alias("_label"), F.col("label_index").alias(output))
     return attach(rows, numbers, ["_label"], "inner").drop("_label")

@@ -6,12 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colsieve.operators import inject, metrics, profile, select, semantic, stats
-from colsieve.operators.prep import fit_encoder
+from colsieve.operators.prep import Encoder, fit_encoder
 from colsieve.operators.split import stratified_split, with_seeds
 from colsieve.plans.settle import settle
 from colsieve.sources.snapshots import LabelledTable
@@ -68,72 +67,84 @@ def _greatest_label(table: LabelledTable) -> Column:
     return (label == ends["high"]).cast("int")
 
 
-def _split(table: LabelledTable, settings: RunSettings) -> DataFrame:
+@dataclass(frozen=True)
+class SeedRows:
+    """What one seed's fits need: encoded training rows and the raw rows of both parts."""
+
+    train: DataFrame
+    test: DataFrame
+    encoder: Encoder
+    plain: stats.Prepared
+
+
+def seed_rows(table: LabelledTable, split: DataFrame, seed: int) -> SeedRows:
+    """One encoder per seed serves all scorers and all refits; subsets of features are cut out of its vectors."""
+    own = split.where(F.col("seed") == seed)
+    train, test = (own.where(F.col("part") == part) for part in ("train", "test"))
+    encoder = fit_encoder(train, table.features, scale_numeric=True)
+    plain = stats.prepare(train, table.features, table.spec.target, encoder=encoder.unscaled())
+    return SeedRows(train, test, encoder, plain)
+
+
+def _seeds(table: LabelledTable, settings: RunSettings) -> dict[int, SeedRows]:
     spec = table.spec
-    return stratified_split(
+    split = stratified_split(
         table.rows, spec.target, spec.row_id, settings.seeds, settings.train, settings.validation, settings.test
     )
+    return {seed: seed_rows(table, split, seed) for seed in settings.seeds}
 
 
-def stat_table(table: LabelledTable, split: DataFrame, settings: RunSettings, forest_only: bool = False) -> DataFrame:
+def stat_table(table: LabelledTable, seeds: Mapping[int, SeedRows], settings: RunSettings, forest_only: bool = False) -> DataFrame:
     """Scores of all scorers and seeds. Both logistic fits read the same prepared rows."""
-    spec, scores = table.spec, []
-    for seed in settings.seeds:
-        train = split.where((F.col("seed") == seed) & (F.col("part") == "train"))
-        plain = stats.prepare(train, table.features, spec.target)
-        scores.append(stats.forest_scores(plain, spec.name, seed, settings.trees, settings.max_depth))
+    spec, found = table.spec, []
+    for seed, rows in seeds.items():
+        found.append(stats.forest_importances(rows.plain, spec.name, seed, settings.trees, settings.max_depth))
         if not forest_only:
-            scaled = stats.prepare(train, table.features, spec.target, scale_numeric=True)
-            scores += [stats.logistic_scores(scaled, p, spec.name, seed) for p in ("l2", "l1")]
-    return settle(reduce(lambda a, b: a.unionByName(b), scores))
+            scaled = stats.prepare(rows.train, table.features, spec.target, encoder=rows.encoder)
+            found += [stats.logistic_importances(scaled, p, spec.name, seed) for p in ("l2", "l1")]
+    return settle(stats.normalise_scorers(reduce(lambda a, b: a.unionByName(b), found)))
+
+
+def encode_test(test: Mapping[str, DataFrame], label: Column, row_id: str, encoder: Encoder) -> DataFrame:
+    """(setting, row_id, label, features) of the test rows under every setting, written once for all models."""
+    both = reduce(lambda a, b: a.unionByName(b), [df.withColumn("setting", F.lit(s)) for s, df in test.items()])
+    encoded = encoder.transform(both.withColumn("label", label))
+    return settle(encoded.select("setting", F.col(row_id).cast("string").alias("row_id"), "label", "features"))
 
 
 def fit_and_predict(
-    train: DataFrame, test: Mapping[str, DataFrame], features: Sequence[str], row_id: str, seed: int, trees: int, max_depth: int
+    train: stats.Prepared, test: DataFrame, features: Sequence[str], seed: int, trees: int, max_depth: int
 ) -> DataFrame:
-    """Fit one forest and score all settings of the test rows with it.
-
-    ``label`` must be a 0/1 column of all frames.
-    """
-    encoder = fit_encoder(train, features)
-    weighted = stats.balance_weights(train.select("label", *features), "label")
-    rows = settle(encoder.transform(weighted).select(F.col("label").cast("double").alias("label"), "weight", "features"))
-    model = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed
-    ).fit(rows)
-    both = reduce(lambda a, b: a.unionByName(b), [
-        df.select(row_id, "label", *features).withColumn("setting", F.lit(setting)) for setting, df in test.items()
-    ])
-    scored = model.transform(encoder.transform(both))
+    """Fit one forest on the chosen features and score the encoded test rows of all settings with it."""
+    model = stats.forest(seed, trees, max_depth).fit(train.only(features))
+    scored = model.transform(stats.slice_features(test, train.encoder, features))
     return scored.select(
-        "setting", F.col(row_id).cast("string").alias("row_id"), "label", F.col("prediction").cast("int").alias("pred"),
+        "setting", "row_id", "label", F.col("prediction").cast("int").alias("pred"),
         vector_to_array("probability")[1].alias("score"),
     )
 
 
-def predictions(table: LabelledTable, split: DataFrame, rankings: DataFrame, settings: RunSettings) -> DataFrame:
+def predictions(
+    table: LabelledTable, seeds: Mapping[int, SeedRows], rankings: DataFrame, settings: RunSettings, label: Column
+) -> DataFrame:
     """(dataset, seed, method, setting, row_id, label, pred, score) of every method and seed.
 
     Methods that chose the same features in a seed share one fit. The model is
     trained on rows with the leaks in them; only the test rows are masked.
     """
     spec = table.spec
-    rows = split.withColumn("label", _greatest_label(table))
     lists: dict[tuple[int, tuple[str, ...]], list[str]] = {}
     for r in select.selected_lists(rankings).collect():
         lists.setdefault((r["seed"], tuple(sorted(r["selected_features"]))), []).append(r["method"])
     scored = []
-    for seed in settings.seeds:
-        own = rows.where(F.col("seed") == seed)
-        train, test = (own.where(F.col("part") == part) for part in ("train", "test"))
-        masks = inject.mask_values(train, table.leaks)
-        settings_of_test = {"leaky": test, "clean": inject.apply_mask(test, masks)}
+    for seed, rows in seeds.items():
+        masks = inject.mask_values(rows.train, table.leaks)
+        shown = {"leaky": rows.test, "clean": inject.apply_mask(rows.test, masks)}
+        test = encode_test(shown, label, spec.row_id, rows.plain.encoder)
         for (of_seed, features), methods in sorted(lists.items()):
             if of_seed != seed:
                 continue
-            one = fit_and_predict(
-                train, settings_of_test, list(features), spec.row_id, seed, settings.trees, settings.max_depth
-            )
+            one = fit_and_predict(rows.plain, test, features, seed, settings.trees, settings.max_depth)
             scored.append(one.select(
                 F.lit(spec.name).alias("dataset"), F.lit(seed).alias("seed"),
                 F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "*",
@@ -142,14 +153,14 @@ def predictions(table: LabelledTable, split: DataFrame, rankings: DataFrame, set
 
 
 def _finish(
-    table: LabelledTable, split: DataFrame, scores: DataFrame, raw: DataFrame, settings: RunSettings,
-    scorers: Mapping[str, tuple[str, str]],
+    table: LabelledTable, seeds: Mapping[int, SeedRows], scores: DataFrame, raw: DataFrame, settings: RunSettings,
+    scorers: Mapping[str, tuple[str, str]], label: Column,
 ) -> RunResult:
     budget = settle(select.budgets(table.catalog, settings.k_ratio))
     leaks = table.catalog.where("is_injected_leakage")
     rankings = settle(select.rank_methods(scores, budget, leaks))
     chosen = select.top_k(rankings)
-    measured = metrics.classification_metrics(predictions(table, split, rankings, settings))
+    measured = metrics.classification_metrics(predictions(table, seeds, rankings, settings, label))
     rows = metrics.metric_rows(metrics.by_setting(measured), metrics.leak_selection(chosen, budget), budget, scorers)
     names = F.create_map(*[F.lit(x) for m, (p, n) in scorers.items() for x in (m, F.struct(F.lit(p.lower()).alias("p"), F.lit(n).alias("n")))])
     who = F.element_at(names, F.col("method"))
@@ -171,8 +182,8 @@ def run_main(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSe
     Fits are separate Spark jobs per seed; everything before and after them is
     one job for all seeds and methods.
     """
-    split = _split(table, settings)
-    stat = stat_table(table, split, settings)
+    label, seeds = _greatest_label(table), _seeds(table, settings)
+    stat = stat_table(table, seeds, settings)
     relevance = role_scores(raw, select.RELEVANCE_METHOD, settings.seeds)
     aware = role_scores(raw, select.AWARE_METHOD, settings.seeds)
     scores = reduce(lambda a, b: a.unionByName(b), [
@@ -181,18 +192,18 @@ def run_main(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSe
         select.aware_scores(stat.where(F.col("scorer") == "forest"), aware, {select.AWARE_METHOD: settings.weights}),
     ])
     scorers = {m: _scorer_of(raw, m) for m in (select.RELEVANCE_METHOD, select.AWARE_METHOD)}
-    return _finish(table, split, scores, raw, settings, scorers)
+    return _finish(table, seeds, scores, raw, settings, scorers, label)
 
 
 def run_ablation(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSettings()) -> RunResult:
     """The full leakage-aware score and its variants; all weight sets are ranked in one pass."""
-    split = _split(table, settings)
-    stat = stat_table(table, split, settings, forest_only=True)
+    label, seeds = _greatest_label(table), _seeds(table, settings)
+    stat = stat_table(table, seeds, settings, forest_only=True)
     own = raw.where(F.col("scoring_role") == select.AWARE_METHOD)
     variants = select.ablations(settings.weights)
     scores = select.aware_scores(stat, role_scores(own, select.AWARE_METHOD, settings.seeds), variants)
     scorer = _scorer_of(raw, select.AWARE_METHOD)
-    return _finish(table, split, scores, own, settings, {v: scorer for v in variants})
+    return _finish(table, seeds, scores, own, settings, {v: scorer for v in variants}, label)
 
 
 def rankings_by_prompt(
@@ -245,8 +256,8 @@ def analyze(
     features = profile.feature_names(clean, target, row_id)
     if not features:
         raise ValueError("no usable column is left after cleaning")
-    prepared = stats.prepare(clean, features, target)
-    scores = settle(stats.forest_scores(prepared, name, seed, trees, max_depth, strict=True))
+    found = stats.forest_importances(stats.prepare(clean, features, target), name, seed, trees, max_depth)
+    scores = settle(stats.normalise_scorers(found, strict=True))
     aim = F.lit(target)
     if external is None:
         judged = semantic.floor_rules(scores, aim)

@@ -9,7 +9,7 @@ round until what is inside fits. All columns share each round's scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -95,12 +95,18 @@ def ranked_values(df: DataFrame, targets: dict[str, tuple[Column, int, int]], li
     return answers
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], limit: int = IN_TASK_ROWS) -> dict[str, float | None]:
-    """Exact interpolating median per column; None where no value is present."""
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], limit: int = IN_TASK_ROWS, counted: Mapping[str, int] | None = None
+) -> dict[str, float | None]:
+    """Exact interpolating median per column; None where no value is present.
+
+    ``counted``: the columns' numbers of values, if they are known already.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    counted = df.agg(*[F.count(number(c)).alias(c) for c in columns]).first()
+    if counted is None:
+        counted = df.agg(*[F.count(number(c)).alias(c) for c in columns]).first()
     medians: dict[str, float | None] = {c: None for c in columns}
     small = [c for c in columns if 0 < counted[c] <= limit]
     if small:

@@ -171,7 +171,7 @@ def aggregate_semantic(spark: SparkSession, sf: str) -> DataFrame:
     """Means of the prompts, whose risks differ by a draw, for the wide catalogue; one table has a single prompt."""
     scored = semantic.name_rules(semantic.prompt_jobs(word_catalog(spark, sf)), semantic.relevance_only_names())
     scored = scored.where((F.col("dataset") != "conv_1") | (F.col("prompt_variant") == "leakage"))
-    shift = F.round(u01("risk", F.col("prompt_variant"), F.concat_ws("/", "dataset", "feature")) / 10.0, 4)
+    shift = u01("risk", F.col("prompt_variant"), F.concat_ws("/", "dataset", "feature")) / 10.0
     return six(semantic.aggregate_prompts(scored.withColumn("leakage_risk", F.col("leakage_risk") + shift), ["dataset"]))
 
 
@@ -323,7 +323,7 @@ _RAW_REPLIES = f"""
     CASE WHEN {_RAW_DRAW('why')} < 0.1 THEN '' WHEN {_RAW_DRAW('why')} < 0.9 THEN 'because of ' || role END AS reason
   FROM conversations"""
 _LEAK_LIST = ", ".join(sql.text(n) for n in leak_names())
-_RISK_SHIFT = "round(" + _U("'risk'", "prompt_variant", _NAME) + " / 10.0::DOUBLE, 4)"
+_RISK_SHIFT = _U("'risk'", "prompt_variant", _NAME) + " / 10.0::DOUBLE"
 _N = "count(*) FILTER (NOT x)"
 _INTERACTIVE = f"""
   SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY score DESC, stat_score DESC, feature)::INTEGER AS rank

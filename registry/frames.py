@@ -248,8 +248,8 @@ def word_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_labelled(spark: SparkSession, sf: str) -> LabelledTable:
-    """The injected orders as one labelled table, for the runs that fit models."""
-    rows = leaky_orders(spark, sf).drop("dataset", "y")
+    """The injected orders as one labelled table, written once, for the runs that fit models."""
+    rows = settle(leaky_orders(spark, sf).drop("dataset", "y"))
     catalog = order_catalog(spark, sf).where(F.col("is_injected_leakage")).select("feature", "description").distinct()
     metadata = catalog.select(
         F.lit("orders_value").alias("dataset"), "feature", F.lit(True).alias("is_injected_leakage"), "description"
