@@ -44,9 +44,8 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 
 
 def _undecodable(spark: SparkSession, path: str) -> bool:
-    """Is there a line that is not UTF-8? Decoding leaves the replacement character."""
-    lines = spark.read.text(path).select(F.col("value").contains("�").alias("bad"))
-    return not lines.where("bad").limit(1).isEmpty()
+    """Is there a line that is not UTF-8? The search stops at the first one."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
 def read_checked_csv(spark: SparkSession, path: str) -> DataFrame:
