@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colsieve.operators.select import ABLATIONS, AWARE_METHOD, METHODS, STAT_METHODS
-from colsieve.plans.settle import attach
 
 MAIN_METRICS = (
     "leaky_auroc", "clean_auroc", "leaky_f1", "clean_f1", "deployment_drop",

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colsieve.functions.hashing import digest, hex_number, u01
-from colsieve.plans.settle import attach
+from colsieve.operators.target import label_text
+from colsieve.plans.settle import attach, settle
 
 # Leading hex digits of the row digest that form a histogram bucket. 65,536
 # buckets: of 10 billion rows of one class about 150,000 share the bucket in
@@ -21,7 +22,16 @@ def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
 
-def stratified_split(
+def _keyed(df: DataFrame, target: str, row_id: str, seeds: Sequence[int]) -> DataFrame:
+    rows = with_seeds(df.withColumn("_label", label_text(target)), seeds)
+    return rows.withColumn("_digest", digest(F.col("seed"), F.col(row_id)))
+
+
+def _second_cut(train: float, validation: float, test: float) -> float:
+    return train + (1.0 - train) * validation / (validation + test)
+
+
+def split_cuts(
     df: DataFrame,
     target: str,
     row_id: str,
@@ -29,69 +39,87 @@ def stratified_split(
     train: float = 0.6,
     validation: float = 0.2,
     test: float = 0.2,
-    exact: bool = True,
     bucket_digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """Add ``seed`` and ``part``. Of each class the first round(n * train) rows in
-    digest order are 'train', those up to round(n * (train + validation)) 'validation'.
+    """(seed, _label, _train_end, _validation_end): last row of the parts of each class, in digest order.
 
-    A class may hold most of the table, so its rows are never sorted together.
-    A histogram of digest prefixes finds the bucket in which each cut lies, only
-    the rows of these buckets are ranked, and the last row of each part becomes a
-    threshold that every row is compared with. Rows are not shuffled.
-
-    ``exact=False`` cuts the row's uniform draw instead: one narrow pass, class
-    shares right only on average.
+    Only the target and the row id of ``df`` are read. A class may hold most of
+    the table, so its rows are never sorted together: a histogram of digest
+    prefixes finds the bucket in which each cut lies, and only the rows of these
+    buckets are ranked.
     """
-    rest = validation + test
-    second = train + (1.0 - train) * validation / rest
-    rows = with_seeds(df.withColumn("_label", F.coalesce(F.col(target).cast("string"), F.lit("nan"))), seeds)
-    if not exact:
-        draw = u01(F.col("seed"), "split", F.col(row_id))
-        part = F.when(draw < F.lit(train), "train").when(draw < F.lit(second), "validation").otherwise("test")
-        return rows.withColumn("part", part).drop("_label")
-
-    keyed = rows.withColumn("_digest", digest(F.col("seed"), F.col(row_id)))
-    placed = keyed.select(
+    placed = _keyed(df.select(target, row_id), target, row_id, seeds).select(
         *_KEYS, F.col(row_id).alias("_row"), "_digest", hex_number(F.substring("_digest", 1, bucket_digits)).alias("_bucket")
     )
-    upto = Window.partitionBy(*_KEYS).orderBy("_bucket")
     histogram = placed.groupBy(*_KEYS, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = histogram.select(
         *_KEYS, "_bucket", "_n",
-        F.sum("_n").over(upto).alias("_upto"),
+        F.sum("_n").over(Window.partitionBy(*_KEYS).orderBy("_bucket")).alias("_upto"),
         F.sum("_n").over(Window.partitionBy(*_KEYS)).alias("_size"),
     )
-    cuts = F.array(
-        F.struct(F.lit(1).alias("cut"), F.round(F.col("_size") * F.lit(train)).cast("long").alias("quota")),
-        F.struct(F.lit(2).alias("cut"), F.round(F.col("_size") * F.lit(second)).cast("long").alias("quota")),
-    )
-    wanted = running.withColumn("_cut", F.explode(cuts)).select(
+    shares = (train, _second_cut(train, validation, test))
+    quotas = F.array(*[
+        F.struct(F.lit(i).alias("cut"), F.round(F.col("_size") * F.lit(share)).cast("long").alias("quota"))
+        for i, share in enumerate(shares, start=1)
+    ])
+    wanted = running.withColumn("_cut", F.explode(quotas)).select(
         *_KEYS, "_bucket", F.col("_cut.cut").alias("cut"),
         (F.col("_cut.quota") - (F.col("_upto") - F.col("_n"))).alias("_need"), "_n",
     ).where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
     # Both cuts of a class may lie in one bucket: one lookup row per bucket.
-    needs = wanted.groupBy(*_KEYS, "_bucket").agg(
-        F.max(F.when(F.col("cut") == 1, F.col("_need"))).alias("_need1"),
-        F.max(F.when(F.col("cut") == 2, F.col("_need"))).alias("_need2"),
-    )
+    needs = wanted.groupBy(*_KEYS, "_bucket").agg(*[
+        F.max(F.when(F.col("cut") == i, F.col("_need"))).alias(f"_need{i}") for i in (1, 2)
+    ])
     near = attach(placed, needs, [*_KEYS, "_bucket"], "inner")
     ranked = near.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*_KEYS, "_bucket").orderBy("_digest", "_row"))
     )
     last = F.struct("_digest", "_row")
-    thresholds = ranked.groupBy(*_KEYS).agg(
+    return settle(ranked.groupBy(*_KEYS).agg(
         F.max(F.when(F.col("_rank") == F.col("_need1"), last)).alias("_train_end"),
         F.max(F.when(F.col("_rank") == F.col("_need2"), last)).alias("_validation_end"),
-    )
+    ))
+
+
+def apply_cuts(df: DataFrame, cuts: DataFrame, target: str, row_id: str, seeds: Sequence[int]) -> DataFrame:
+    """Add ``seed`` and ``part`` by comparing each row with the cuts of its class; rows are not shuffled.
+
+    ``df`` may be any table that holds the row ids and targets the cuts were made of.
+    """
     here = F.struct(F.col("_digest"), F.col(row_id).alias("_row"))
     part = (
         F.when(here <= F.col("_train_end"), "train").when(here <= F.col("_validation_end"), "validation").otherwise("test")
     )
-    cut_rows = attach(keyed, thresholds, _KEYS, "left")
+    cut_rows = attach(_keyed(df, target, row_id, seeds), cuts, _KEYS, "left")
     return cut_rows.withColumn("part", part).drop("_label", "_digest", "_train_end", "_validation_end")
 
 
+def stratified_split(
+    df: DataFrame,
+    target: str,
+    row_id: str,
+    seeds: Sequence[int],
+    train: float = 0.6,
+    validation: float = 0.2,
+    test: float = 0.2,
+    exact: bool = True,
+    bucket_digits: int = BUCKET_DIGITS,
+) -> DataFrame:
+    """Add ``seed`` and ``part``. Of each class the first round(n * train) rows in
+    digest order are 'train', those up to round(n * (train + validation)) 'validation'.
+
+    ``exact=False`` cuts the row's uniform draw instead: one narrow pass, class
+    shares right only on average.
+    """
+    if exact:
+        cuts = split_cuts(df, target, row_id, seeds, train, validation, test, bucket_digits)
+        return apply_cuts(df, cuts, target, row_id, seeds)
+    draw = u01(F.col("seed"), "split", F.col(row_id))
+    second = _second_cut(train, validation, test)
+    part = F.when(draw < F.lit(train), "train").when(draw < F.lit(second), "validation").otherwise("test")
+    return with_seeds(df, seeds).withColumn("part", part)
+
+
 def split_counts(split: DataFrame, target: str) -> DataFrame:
     return split.groupBy("seed", F.col(target).cast("string").alias("label"), "part").agg(
         F.count(F.lit(1)).alias("n_rows")

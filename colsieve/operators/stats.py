@@ -15,6 +15,8 @@ from colsieve.operators.target import label_text
 from colsieve.plans.settle import attach, settle
 
 TREES = 300
+# More classes than this are an id or a number, not classes.
+MAX_CLASSES = 1000
 MAX_DEPTH = 30
 MAX_ITERATIONS = 5000
 # Tolerances below which all scores count as equal.
@@ -26,6 +28,8 @@ def label_weights(train: DataFrame, target: str) -> DataFrame:
     """(_label, label, weight): class numbers in text order; weight = rows / (classes * rows of the class)."""
     counts = settle(train.groupBy(label_text(target).alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    if totals["k"] > MAX_CLASSES:
+        raise ValueError(f"the target has {totals['k']} classes; make at most {MAX_CLASSES} of it first")
     return counts.select(
         "_label", (F.row_number().over(Window.orderBy("_label")) - 1).cast("double").alias("label"),
         (F.lit(float(totals["n"])) / (F.lit(float(totals["k"])) * F.col("_n"))).alias("weight"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colsieve.operators.profile import MISSING_TEXT, is_numeric, parsed_number, require_column
 from colsieve.plans.order_stats import exact_medians, number
+from colsieve.plans.ranking import number_rows
 from colsieve.plans.settle import attach
 
 
@@ -89,7 +90,8 @@ def metric_bit(df: DataFrame, target: str) -> Column:
 def label_numbers(df: DataFrame, target: str) -> DataFrame:
     """(label, label_index): the distinct labels as text, numbered from 0 in order."""
     labels = df.select(label_text(target).alias("label")).distinct()
-    return labels.withColumn("label_index", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    numbered = number_rows(labels, [], [F.col("label").asc()], "_number")
+    return numbered.select("label", (F.col("_number") - 1).cast("int").alias("label_index"))
 
 
 def with_label_index(df: DataFrame, target: str, output: str = "label_index") -> DataFrame:

@@ -15,9 +15,6 @@ from colsieve.operators.split import stratified_split, with_seeds
 from colsieve.plans.settle import settle
 from colsieve.sources.snapshots import LabelledTable
 
-# More classes than this are an id or a number, not classes.
-MAX_CLASSES = 1000
-
 
 @dataclass(frozen=True)
 class RunSettings:
@@ -249,9 +246,9 @@ def analyze(
     rows = profile.drop_null_target(df, target)
     profile.require_two_classes(rows, target)
     classes = profile.class_list(rows, target)
-    labels = [r[0] for r in classes.limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"the target has more than {MAX_CLASSES} classes; make classes of it first")
+    labels = [r[0] for r in classes.limit(stats.MAX_CLASSES + 1).collect()]
+    if len(labels) > stats.MAX_CLASSES:
+        raise ValueError(f"the target has more than {stats.MAX_CLASSES} classes; make classes of it first")
     clean = profile.drop_constant(rows, profile.feature_names(rows, target, row_id))
     features = profile.feature_names(clean, target, row_id)
     if not features:

@@ -26,6 +26,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _is_settled(df: DataFrame) -> bool:
+    """Has this very table just been written? Then writing it again would gain nothing."""
+    return getattr(df, "_settled", False)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it to the shared folder and go on from the copy.
 
@@ -33,7 +38,9 @@ def settle(df: DataFrame) -> DataFrame:
     inputs nor see other rows when a lost executor's work is redone.
     """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    written._settled = True
+    return written
 
 
 def attach(
@@ -46,7 +53,7 @@ def attach(
     key is spread over many tasks.
     """
     on = list(on)
-    lookup = settle(lookup)
+    lookup = lookup if _is_settled(lookup) else settle(lookup)
     if lookup.count() <= limit:
         return rows.join(F.broadcast(lookup), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))

@@ -52,7 +52,11 @@ def read_checked_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV that must have a row and two columns; GBK is tried if the text is not UTF-8."""
     if not path_exists(spark, path) or spark.read.text(path).isEmpty():
         raise ValueError("the file is empty")
-    encoding = TEXT_ENCODINGS[1] if _undecodable(spark, path) else TEXT_ENCODINGS[0]
+    encoding = TEXT_ENCODINGS[0]
+    if _undecodable(spark, path):
+        encoding = TEXT_ENCODINGS[1]
+        # Spark reads this encoding only where all Java encodings are allowed.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = nan_as_null(read_csv(spark, path, encoding=encoding))
     if df.isEmpty():
         raise ValueError("the table has no rows")

@@ -12,7 +12,7 @@ from colsieve.operators.inject import leak_names
 from colsieve.plans.settle import settle
 from registry import sql
 from registry.frames import (
-    event_table, order_budget, order_catalog, rankings, role_means, six, stat_scores, table, word_catalog, word_columns, word_scores,
+    event_table, rankings, six, stat_scores, table, word_catalog, word_columns, word_scores,
 )
 
 TASK = "say which turn comes next"
@@ -195,8 +195,8 @@ def topk_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_stat(spark: SparkSession, sf: str) -> DataFrame:
-    scores = select.stat_method_scores(settle(stat_scores(spark, sf)))
-    return six(select.top_k(select.rank_methods(scores, order_budget(spark, sf), decimals=6)).drop("selected"))
+    ranked = rankings(spark, sf, tuple(select.STAT_METHODS.values()))
+    return six(select.top_k(ranked).drop("selected", "is_injected_leakage"))
 
 
 def rank_relevance(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,18 +208,12 @@ def rank_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return six(select.top_k(select.rank_methods(scores, select.budgets(catalog))).drop("selected"))
 
 
-def _aware(spark: SparkSession, sf: str, variants=None) -> DataFrame:
-    stat = stat_scores(spark, sf).where(F.col("scorer") == "forest")
-    scores = select.aware_scores(stat, role_means(spark, sf, select.AWARE_METHOD), variants)
-    return select.rank_methods(scores, order_budget(spark, sf), order_catalog(spark, sf).where("is_injected_leakage"), decimals=6)
-
-
 def rank_leakage_aware(spark: SparkSession, sf: str) -> DataFrame:
-    return six(_aware(spark, sf))
+    return six(rankings(spark, sf, (select.AWARE_METHOD,)))
 
 
 def rank_ablations(spark: SparkSession, sf: str) -> DataFrame:
-    return six(_aware(spark, sf, select.ablations()))
+    return six(rankings(spark, sf, (), select.ablations()))
 
 
 def _interactive(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +236,7 @@ def selected_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
-    return select.side_by_side(rankings(spark, sf), "tfs_rf", "leakage_aware")
+    return select.side_by_side(rankings(spark, sf, ("tfs_rf", "leakage_aware")), "tfs_rf", "leakage_aware")
 
 
 def severity(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,7 +24,9 @@ NAME_ENDINGS = (
 )
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as a lazy frame; kept so that its schema is looked up once per session."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -62,9 +64,9 @@ def price_threshold(spark: SparkSession, sf: str) -> float:
     return targets.exact_medians(table(spark, sf, "orders"), ["o_totalprice"])["o_totalprice"]
 
 
-def order_table(spark: SparkSession, sf: str) -> DataFrame:
+def order_table(spark: SparkSession, sf: str, threshold: float | None = None) -> DataFrame:
     """Orders labelled 'high' above the median price, else 'low'; the price is gone."""
-    high = F.col("total_price") > F.lit(price_threshold(spark, sf))
+    high = F.col("total_price") > F.lit(price_threshold(spark, sf) if threshold is None else threshold)
     return order_base(spark, sf).withColumn("value_class", F.when(high, "high").otherwise("low")).drop("total_price")
 
 
@@ -73,21 +75,32 @@ def order_bit() -> Column:
     return (F.col("value_class") == "low").cast("int")
 
 
-def leaky_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return inject.inject_leaks(order_table(spark, sf).withColumn("y", order_bit()), F.col("y"), "row_id", LEAK_SEED)
+def leaky_orders(spark: SparkSession, sf: str, threshold: float | None = None) -> DataFrame:
+    labelled_rows = order_table(spark, sf, threshold).withColumn("y", order_bit())
+    return inject.inject_leaks(labelled_rows, F.col("y"), "row_id", LEAK_SEED)
+
+
+def order_labels(spark: SparkSession, sf: str, threshold: float) -> DataFrame:
+    """(row_id, value_class) straight from the orders, without the joins."""
+    label = F.when(F.col("o_totalprice") > F.lit(threshold), "high").otherwise("low")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), label.alias("value_class"))
 
 
 def split_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """(seed, row_id, part) of the orders, split within each class."""
-    high = F.col("o_totalprice") > F.lit(price_threshold(spark, sf))
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.when(high, "high").otherwise("low").alias("value_class"))
-    return split.stratified_split(rows, "value_class", "row_id", SEEDS)
+    """(seed, row_id, value_class, part) of the orders, split within each class."""
+    return split.stratified_split(order_labels(spark, sf, price_threshold(spark, sf)), "value_class", "row_id", SEEDS)
+
+
+def split_leaky_orders(spark: SparkSession, sf: str, seeds=SEEDS) -> DataFrame:
+    """The injected orders with seed and part. The cuts come from the labels alone, so no join by row id is needed."""
+    threshold = price_threshold(spark, sf)
+    cuts = split.split_cuts(order_labels(spark, sf, threshold), "value_class", "row_id", seeds)
+    return split.apply_cuts(leaky_orders(spark, sf, threshold), cuts, "value_class", "row_id", seeds)
 
 
 def stat_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Fit-free scores per nation, seed and scorer from the training rows, three scorers as variants of one."""
-    parts = split_orders(spark, sf).where(F.col("part") == "train").select("row_id", "seed")
-    train = leaky_orders(spark, sf).join(parts, "row_id")
+    train = split_leaky_orders(spark, sf).where(F.col("part") == "train")
     found = stats.association_scores(
         train, ["dataset", "seed"], "y", [*NUMERIC, *LEAK_NUMERIC], [*CATEGORICAL, *LEAK_CATEGORICAL]
     )
@@ -112,9 +125,9 @@ def order_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("dataset", F.inline(F.array(*entries)))
 
 
-def order_semantic(spark: SparkSession, sf: str) -> DataFrame:
+def order_semantic(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> DataFrame:
     """Raw name-rule scores of the catalogue; the audit prompt sees more risk, so that there is uncertainty."""
-    raw = offline_semantic(order_catalog(spark, sf))
+    raw = offline_semantic(order_catalog(spark, sf) if catalog is None else catalog)
     risk = F.when(F.col("prompt_variant") == "leakage_audit", F.least(F.lit(1.0), F.col("leakage_risk") + 0.05))
     return raw.withColumn("leakage_risk", risk.otherwise(F.col("leakage_risk")))
 
@@ -123,29 +136,32 @@ def with_run_seeds(df: DataFrame) -> DataFrame:
     return split.with_seeds(df, SEEDS)
 
 
-def role_means(spark: SparkSession, sf: str, role: str) -> DataFrame:
-    raw = order_semantic(spark, sf).where(F.col("scoring_role") == role)
-    return split.with_seeds(semantic.aggregate_prompts(raw, ["dataset"]), SEEDS)
-
-
-def order_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return select.budgets(order_catalog(spark, sf))
+def role_means(spark: SparkSession, sf: str, role: str, catalog: DataFrame | None = None) -> DataFrame:
+    raw = order_semantic(spark, sf, catalog).where(F.col("scoring_role") == role)
+    return with_run_seeds(semantic.aggregate_prompts(raw, ["dataset"]))
 
 
-def method_scores(spark: SparkSession, sf: str) -> DataFrame:
-    stat = settle(stat_scores(spark, sf))
-    scores = [
-        select.stat_method_scores(stat),
-        select.relevance_scores(role_means(spark, sf, select.RELEVANCE_METHOD)),
-        select.aware_scores(stat.where(F.col("scorer") == "forest"), role_means(spark, sf, select.AWARE_METHOD)),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), scores)
+def order_budget(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> DataFrame:
+    return select.budgets(order_catalog(spark, sf) if catalog is None else catalog)
 
 
-def rankings(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = order_catalog(spark, sf)
+def rankings(spark: SparkSession, sf: str, methods: tuple[str, ...] = select.METHODS, variants=None) -> DataFrame:
+    """Rankings of the wanted methods, or of variants of the leakage-aware one."""
+    catalog = settle(order_catalog(spark, sf))
+    scores = []
+    if set(methods) != {select.RELEVANCE_METHOD}:
+        stat = settle(stat_scores(spark, sf))
+        scorers = {s: m for s, m in select.STAT_METHODS.items() if m in methods}
+        if scorers:
+            scores.append(select.stat_method_scores(stat, scorers))
+        if select.AWARE_METHOD in methods or variants:
+            aware = role_means(spark, sf, select.AWARE_METHOD, catalog)
+            scores.append(select.aware_scores(stat.where(F.col("scorer") == "forest"), aware, variants))
+    if select.RELEVANCE_METHOD in methods:
+        scores.append(select.relevance_scores(role_means(spark, sf, select.RELEVANCE_METHOD, catalog)))
     return select.rank_methods(
-        method_scores(spark, sf), order_budget(spark, sf), catalog.where("is_injected_leakage"), decimals=6
+        reduce(lambda a, b: a.unionByName(b), scores), order_budget(spark, sf, catalog),
+        catalog.where("is_injected_leakage"), decimals=6,
     )
 
 

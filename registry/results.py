@@ -35,7 +35,7 @@ def deploy_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap of the features that two methods chose in the same run."""
-    lists = select.selected_lists(rankings(spark, sf))
+    lists = select.selected_lists(rankings(spark, sf, ("tfs_rf", "leakage_aware")))
     def of(m: str):
         return F.coalesce(F.max(F.when(F.col("method") == m, F.col("selected_features"))), F.array().cast("array<string>"))
     pairs = lists.groupBy("dataset", "seed").agg(of("tfs_rf").alias("a"), of("leakage_aware").alias("b"))

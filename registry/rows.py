@@ -14,7 +14,7 @@ from colsieve.sources import results, snapshots, tables
 from registry import sql
 from registry.frames import (
     CATEGORICAL, LEAK_CATEGORICAL, LEAK_SEED, NUMERIC, SEEDS,
-    event_table, leaky_orders, order_base, order_bit, order_catalog, order_table, six, split_orders, table, word_catalog,
+    event_table, leaky_orders, order_base, order_bit, order_catalog, order_table, six, split_leaky_orders, split_orders, table, word_catalog,
 )
 
 EVENT_COLUMNS = ("event_type", "code", "shape", "gap", "kind", "hour", "user_id", "constant", "empty", "half")
@@ -193,8 +193,7 @@ def agreement_by_level(spark: SparkSession, sf: str) -> DataFrame:
 
 def mask_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Test rows of seed 1 with the leaks masked by what the training rows of seed 1 hold."""
-    part = split_orders(spark, sf).where(F.col("seed") == 1).select("row_id", "part")
-    rows = leaky_orders(spark, sf).join(part, "row_id")
+    rows = split_leaky_orders(spark, sf, [1])
     train, test = rows.where(F.col("part") == "train"), rows.where(F.col("part") == "test")
     return six(inject.mask_leaks(test, [*inject.leak_names(), "not_there"], train).select("row_id", "order_status", *inject.leak_names()))
 
@@ -233,8 +232,7 @@ def scale(spark: SparkSession, sf: str) -> DataFrame:
 def encode_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Learn on the training rows, encode all, and count how often each feature's slots are filled."""
     features = [*NUMERIC, *CATEGORICAL]
-    part = split_orders(spark, sf).where(F.col("seed") == 1).select("row_id", "part")
-    rows = order_table(spark, sf).join(part, "row_id")
+    rows = settle(split_leaky_orders(spark, sf, [1]).select("part", *features))
     encoder = prep.fit_encoder(rows.where(F.col("part") == "train"), features, scale_numeric=True)
     slots = F.array(*[F.lit(s) for s in encoder.slots()])
     filled = encoder.transform(rows).select("part", F.posexplode(vector_to_array("features")).alias("slot", "value"))
