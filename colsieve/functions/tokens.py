@@ -25,7 +25,7 @@ IDENTIFIER_NAME_PARTS = ("id", "uuid", "name")
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-zA-Z0-9]+"), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
 
 
 def words(terms) -> Column:

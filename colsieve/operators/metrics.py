@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colsieve.operators.select import AWARE_METHOD, RELEVANCE_METHOD
-from colsieve.plans.buckets import ONE_BUCKET_ROWS, order_buckets
+from colsieve.plans.buckets import ONE_TASK_ROWS, needs_buckets, order_buckets
 from colsieve.plans.settle import attach, settle
 
 CELL = ("dataset", "seed", "method", "setting")
@@ -47,63 +47,65 @@ def score_counts(predictions: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     return settle(predictions.groupBy(*by, "score").agg(*counts))
 
 
-def score_curve(counts: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_BUCKET_ROWS) -> DataFrame:
+def _running(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Class counts above each score within its group."""
+    above = Window.partitionBy(*group).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({
+        "pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)),
+        "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0)),
+    })
+
+
+def score_curve(counts: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """One row per group and distinct score: class counts here and above the score.
 
-    Running totals are taken inside buckets of the score, and each bucket adds the
-    totals of the buckets above it, so no group is sorted by one task.
+    If a group is too large for one task, running totals are taken inside buckets
+    of the score and each bucket adds the totals of the buckets above it.
     """
     by = list(by)
-    cut = order_buckets(counts, "score", counts.count(), limit)
+    columns = [*by, "score", "pos", "neg", "pos_above", "neg_above"]
+    rows = needs_buckets(counts, by, limit)
+    if not rows:
+        return _running(counts, by).select(*columns)
+    cut = order_buckets(counts, "score", rows, limit)
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    higher = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "_bucket",
-        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p_above"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n_above"),
-        F.sum("_p").over(whole).alias("n_pos"),
-        F.sum("_n").over(whole).alias("n_neg"),
-    )
-    earlier = Window.partitionBy(*by, "_bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumns({
-        "_p_local": F.coalesce(F.sum("pos").over(earlier), F.lit(0)),
-        "_n_local": F.coalesce(F.sum("neg").over(earlier), F.lit(0)),
-    })
-    placed = attach(local, offsets, [*by, "_bucket"], "inner")
-    return placed.select(
-        *by, "score", "pos", "neg",
-        (F.col("_p_above") + F.col("_p_local")).alias("pos_above"),
-        (F.col("_n_above") + F.col("_n_local")).alias("neg_above"),
-        "n_pos", "n_neg",
+        F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p_higher"),
+        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n_higher"),
     )
+    placed = attach(_running(cut, [*by, "_bucket"]), offsets, [*by, "_bucket"], "inner")
+    return placed.withColumns({
+        "pos_above": F.col("pos_above") + F.col("_p_higher"), "neg_above": F.col("neg_above") + F.col("_n_higher"),
+    }).select(*columns)
 
 
 def _ranking_metrics(counts: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     curve = score_curve(counts, by, limit)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    below = F.col("n_neg") - F.col("neg_above") - F.col("neg")
-    wins = pos * (below.cast("double") + neg / 2.0)
-    tp = (F.col("pos_above") + F.col("pos")).cast("double")
-    seen = tp + (F.col("neg_above") + F.col("neg")).cast("double")
+    # Pairs in which the negative scores higher, or the same (half).
+    losses = pos * (F.col("neg_above").cast("double") + neg / 2.0)
+    tp = F.col("pos_above").cast("double") + pos
+    seen = tp + F.col("neg_above").cast("double") + neg
     sums = curve.groupBy(*by).agg(
-        F.sum(wins).alias("_wins"), F.sum(pos * tp / seen).alias("_ap"),
-        F.max("n_pos").cast("double").alias("_p"), F.max("n_neg").cast("double").alias("_n"),
+        F.sum(losses).alias("_losses"), F.sum(pos * tp / seen).alias("_ap"),
+        F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"),
     )
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
+    pairs = F.col("_p") * F.col("_n")
     return sums.select(
         *by,
-        F.when(both, F.col("_wins") / (F.col("_p") * F.col("_n"))).alias("auroc"),
-        F.when(both, F.col("_ap") / F.col("_p")).alias("auprc"),
+        F.when(pairs > 0, (pairs - F.col("_losses")) / pairs).alias("auroc"),
+        F.when(pairs > 0, F.col("_ap") / F.col("_p")).alias("auprc"),
     )
 
 
-def ranking_metrics(predictions: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_BUCKET_ROWS) -> DataFrame:
+def ranking_metrics(predictions: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """Exact AUROC (equal scores count half) and average precision; null if a group has one class only."""
     return _ranking_metrics(score_counts(predictions.drop("pred"), by), by, limit)
 
 
-def classification_metrics(predictions: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_BUCKET_ROWS) -> DataFrame:
+def classification_metrics(predictions: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """All four metrics from one pass over the predictions."""
     counts = score_counts(predictions, by)
     outcomes = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_rows", "_correct", "_tp", "_any")])

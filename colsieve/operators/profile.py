@@ -71,8 +71,12 @@ def _text_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def parsed_number(column: str) -> Column:
-    """Text as a number; text that is none, and 'nan', is null."""
-    value = F.trim(F.col(column)).try_cast("double")
+    """Text as a number; text that is none, and 'nan', is null.
+
+    The first characters are looked at before the cast, as a failing cast costs an exception.
+    """
+    text = F.trim(F.col(column))
+    value = F.when(text.rlike(r"^[+-]?[0-9.iInN]"), text.try_cast("double"))
     return F.when(~F.isnan(value), value)
 
 

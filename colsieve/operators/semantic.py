@@ -213,7 +213,8 @@ def blend_external(scores: DataFrame, external: DataFrame, keys: Sequence[str],
     If the guardrail lifts the risk, availability is at most 0.25 and uncertainty at least 0.18.
     """
     own = floor_rules(scores, target)
-    floor, _, floor_reason = guardrail(F.col("feature"), target)
+    # The offline rules' risk and reason are the guardrail's.
+    floor, floor_reason = F.col("leakage_risk"), F.col("reason")
     outside = external.select(*keys, "feature", F.struct(*REPLY_FIELDS, "reason").alias("_ext"))
     joined = own.join(outside, [*keys, "feature"], "left")
     ext = F.col("_ext")

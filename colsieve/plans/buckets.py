@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-BUCKETS = 256
-# Up to this many rows one bucket (a plain window per group) is enough.
-ONE_BUCKET_ROWS = 500_000
+# A group of up to this many rows is sorted by one task.
+ONE_TASK_ROWS = 500_000
+MOST_BUCKETS = 20_000
+
+
+def needs_buckets(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS) -> int:
+    """0 if every group fits into one task, else the row count. ``df`` must be settled."""
+    rows = df.count()
+    if rows <= limit or (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= limit:
+        return 0
+    return rows
 
 
-def order_buckets(df: DataFrame, column: str, rows: int, limit: int = ONE_BUCKET_ROWS) -> DataFrame:
+def order_buckets(df: DataFrame, column: str, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """Add ``_bucket``: larger values never fall into a smaller bucket.
 
-    The splits are quantiles over the whole table, so no bucket of any group
-    holds much more than 1/256 of all rows, also if one group holds most rows.
-    ``df`` must be settled and hold one row per group and value.
+    The splits are quantiles over the whole table, so a bucket holds about half
+    of ``limit`` rows, also if one group holds most of the table. ``df`` must be
+    settled and hold one row per group and value.
     """
-    if rows <= limit:
-        return df.withColumn("_bucket", F.lit(0.0))
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    inner = sorted(set(df.approxQuantile(column, steps, 1.0 / (8 * BUCKETS))))
+    buckets = min(MOST_BUCKETS, max(2, -(-2 * rows // limit)))
+    steps = [i / buckets for i in range(1, buckets)]
+    inner = sorted(set(df.approxQuantile(column, steps, 1.0 / (8 * buckets))))
     splits = [float("-inf"), *inner, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol="_bucket", handleInvalid="keep").transform(df)

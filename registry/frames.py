@@ -10,10 +10,13 @@ from colsieve.functions.hashing import u01
 from colsieve.operators import inject, metrics, select, semantic, split, stats, target as targets
 from colsieve.plans.experiment import offline_semantic
 from colsieve.plans.settle import settle
+from colsieve.plans.spread import spread
 from colsieve.sources.snapshots import LabelledTable, TableSpec, labelled
 
 SEEDS = (1, 2, 3)
 LEAK_SEED = 42
+# Tables whose rows are hashed or exploded: one small file of them should not stay in one task.
+SPREAD_KEYS = {"orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 NUMERIC = ("order_month", "account_balance", "line_count", "line_quantity", "line_discount")
 CATEGORICAL = ("order_status", "order_priority", "market_segment", "region_name")
 LEAK_NUMERIC = tuple(l.name for l in inject.LEAKS if l.representation != "categorical")
@@ -27,7 +30,8 @@ NAME_ENDINGS = (
 @lru_cache(maxsize=64)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The table as a lazy frame; kept so that its schema is looked up once per session."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def six(df: DataFrame) -> DataFrame:
@@ -266,9 +270,9 @@ def word_scores(spark: SparkSession, sf: str) -> DataFrame:
 def order_labelled(spark: SparkSession, sf: str) -> LabelledTable:
     """The injected orders as one labelled table, written once, for the runs that fit models."""
     rows = settle(leaky_orders(spark, sf).drop("dataset", "y"))
-    catalog = order_catalog(spark, sf).where(F.col("is_injected_leakage")).select("feature", "description").distinct()
-    metadata = catalog.select(
-        F.lit("orders_value").alias("dataset"), "feature", F.lit(True).alias("is_injected_leakage"), "description"
+    metadata = spark.createDataFrame(
+        [("orders_value", l.name, True, l.description) for l in inject.LEAKS],
+        "dataset string, feature string, is_injected_leakage boolean, description string",
     )
     return labelled(rows, TableSpec("orders_value", "value_class"), metadata)
 

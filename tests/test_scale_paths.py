@@ -59,7 +59,7 @@ def test_ranking_metrics_in_buckets(spark, limit):
 
 def test_buckets_keep_order_and_bound_size(spark):
     df = spark.range(20000).select(F.pow(F.col("id") / 20000.0, 4).alias("score"))
-    cut = buckets.order_buckets(df, "score", 20000, limit=10)
+    cut = buckets.order_buckets(df, "score", 20000, limit=200)
     sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("_bucket").collect()
     assert max(r["n"] for r in sizes) < 20000 / 100
     assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
