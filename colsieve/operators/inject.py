@@ -20,8 +20,9 @@ class Leak(NamedTuple):
     description: str
 
 
-# Names, kinds, levels and order decide which columns count as
-# leaks; the descriptions are our own.
+# Fixed values from here to the jitter: names, kinds, levels and order decide
+# which columns count as leaks, the codes and rates what they show. The
+# descriptions are our own.
 LEAKS = (
     Leak("final_outcome_flag", "obvious", "strong", "binary", "Flag set once the outcome has happened."),
     Leak("post_decision_status", "obvious", "strong", "categorical", "Status written after the decision was made."),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A lookup of at most this many short rows (a few MB) is broadcast.
+# A lookup of at most this many rows and bytes is broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 JOIN_SALTS = 32
 
 
@@ -22,6 +25,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="colsieve-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -43,18 +47,24 @@ def settle(df: DataFrame) -> DataFrame:
     return written
 
 
+def _is_small(lookup: DataFrame, limit: int) -> bool:
+    size = F.octet_length(F.to_json(F.struct(*lookup.columns)))
+    measured = lookup.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return measured["rows"] <= limit and (measured["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def attach(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join a lookup (unique on ``on``) to a large, possibly skewed table.
 
-    The lookup is written and counted. Up to ``limit`` rows it is broadcast and
-    the large side does not move. Beyond that both sides are salted, so a hot
-    key is spread over many tasks.
+    The lookup is written and measured. Up to ``limit`` rows and 32 MB it is
+    broadcast and the large side does not move. Beyond that both sides are
+    salted, so a hot key is spread over many tasks.
     """
     on = list(on)
     lookup = lookup if _is_settled(lookup) else settle(lookup)
-    if lookup.count() <= limit:
+    if _is_small(lookup, limit):
         return rows.join(F.broadcast(lookup), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,11 +21,7 @@ EVENT_COLUMNS = ("event_type", "code", "shape", "gap", "kind", "hour", "user_id"
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the session's shared folder."""
-    folder = checkpoint_folder(spark)
-    if folder.startswith(("file:", "/")):
-        local = folder.removeprefix("file:")
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local if os.path.isdir(local) else None)
-    return f"{folder.rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,6 +77,13 @@ def test_numbering_a_group_over_many_pieces(spark):
     assert got.select("g", "score", "feature", F.col("rank").cast("int")).exceptAll(expected).isEmpty()
 
 
+def test_numbering_without_groups(spark):
+    df = spark.range(1000).select(F.concat(F.lit("l"), F.col("id") * 37 % 1009).alias("label"))
+    rows = number_rows(df, [], [F.col("label").asc()], limit=100).collect()
+    assert [r["label"] for r in sorted(rows, key=lambda r: r["rank"])] == sorted(r["label"] for r in rows)
+    assert sorted(r["rank"] for r in rows) == list(range(1, 1001))
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_join_gives_the_same_rows(spark, how):
     rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 90).alias("k"), F.col("id").alias("v"))
