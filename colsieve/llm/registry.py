@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL __spark_entry__ adds."""
 
-from colsieve.llm import near_copies
+from colsieve.llm import bpe, chat, digests, languages, mixing, near_copies, passages, sharding, top_k, toxicity
 
-MODULES = (near_copies,)
+MODULES = (sharding, chat, passages, languages, bpe, toxicity, top_k, mixing, digests, near_copies)

@@ -108,9 +108,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def find_words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end byte of every word; ``borders`` are the bytes where texts begin or end."""
-    solid = ~_IS_SPACE[data]
+def find_words(data: np.ndarray, borders: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word; ``borders`` are the bytes where texts begin or end, ``gap`` says what bytes part words."""
+    solid = ~gap[data]
     step = np.empty(len(data) + 1, bool)  # a word may begin here whatever stands before
     step[:] = False
     step[borders] = True
@@ -149,3 +149,26 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     bytes_ = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return bytes_, offsets - offsets[0]
+
+
+# Lookups that belong to every row.
+
+#: A lookup of at most this many rows and bytes is broadcast, after it was measured.
+LOOKUP_ROWS, LOOKUP_BYTES, SALTS = 20_000, 8 << 20, 64
+
+
+def attach(rows: DataFrame, lookup: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join ``lookup`` (settled, unique on ``on``) to a skewed table; a null key meets the null key.
+
+    A measured, small lookup is broadcast. A larger one is copied for each salt, so that a hot key's rows are
+    spread over SALTS tasks.
+    """
+    key = F.col(f"_lookup.{on}")
+    n, size = lookup.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(F.to_json(F.struct(*lookup.columns))), F.lit(0)))).first()
+    if n <= LOOKUP_ROWS and (size or 0) <= LOOKUP_BYTES:
+        joined = rows.join(F.broadcast(lookup.alias("_lookup")), rows[on].eqNullSafe(key), how)
+    else:
+        copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("_lookup")
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+        joined = rows.join(copies, rows[on].eqNullSafe(key) & (salt == F.col("_lookup._salt")), how)
+    return joined.select(*[rows[c] for c in rows.columns], *[F.col(f"_lookup.{c}") for c in lookup.columns if c != on])
