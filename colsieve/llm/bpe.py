@@ -19,6 +19,24 @@ from colsieve.llm.shared import table
 BLOCK, KEPT_WORDS = 1_000_000, 300_000
 NO_RANK = np.int32(2**31 - 1)
 
+# Code points that `regex` counts as letters or numbers, but the tokenizer's patterns, of Unicode 16, don't.
+LATER_LETTERS = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+# First and last capital whose small letter, the third value for the first one, Python doesn't know yet.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself, or the next free one from 256 on."""
@@ -111,12 +129,20 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return flat, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
 
 
+def _ranges(ranges: tuple[tuple[int, ...], ...]) -> str:
+    return "".join(f"\\U{low:08X}-\\U{high:08X}" for low, high, *_ in ranges)
+
+
 class Encoder:
     """Encodes texts; keeps the ids of words seen before, up to KEPT_WORDS of them."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words = regex.compile(vocabulary.pattern)
+        self.rare = regex.compile(f"[{_ranges(LATER_LETTERS + LATER_NUMBERS + LATER_CAPITALS)}]")
+        older = vocabulary.pattern.replace("\\p{L}", f"[\\p{{L}}--[{_ranges(LATER_LETTERS)}]]").replace("\\p{N}", f"[\\p{{N}}--[{_ranges(LATER_NUMBERS)}]]")
+        self.older_words = regex.compile(older, regex.V1)
+        self.small = {c: small + c - low for low, high, small in LATER_CAPITALS for c in range(low, high + 1)}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._forget()
 
@@ -135,7 +161,10 @@ class Encoder:
     def _plain(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         # a sigma at a word's end becomes the same letter as any other
-        return self.words.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        if not text.isascii() and self.rare.search(text):
+            return self.older_words.findall(text.translate(self.small))
+        return self.words.findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each block of texts: all ids, and where each text's begin."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -245,6 +246,21 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans {SPAN_SQL}")
 
 
+def select_known(docs: DataFrame, model: Model, least: float, switch: float = SWITCH) -> DataFrame:
+    """The documents in which one learned language has the share ``least`` of the letters; null and letterless texts go.
+
+    Rows are judged where they are read, with all their columns; nothing is joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        langs, scores, _ = read_texts([t or "" for t in texts], shared.value)
+        return pd.Series([lang != "und" for lang in langs], dtype=bool) & (scores >= least)
+
+    return docs.where(known("text") if model.langs else F.lit(False))
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 

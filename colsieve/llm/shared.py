@@ -169,6 +169,6 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str, how: str = "left") -> Da
         joined = rows.join(F.broadcast(lookup.alias("_lookup")), rows[on].eqNullSafe(key), how)
     else:
         copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("_lookup")
-        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.lit(SALTS)).cast("int")
         joined = rows.join(copies, rows[on].eqNullSafe(key) & (salt == F.col("_lookup._salt")), how)
     return joined.select(*[rows[c] for c in rows.columns], *[F.col(f"_lookup.{c}") for c in lookup.columns if c != on])

@@ -16,8 +16,8 @@ from colsieve.llm.shared import find_words, hash_words, mix, table, text_bytes,
 #: Bound of the fit: about so many labelled rows, chosen by a hash of their id, whatever the table's size.
 SAMPLE = 20_000
 #: 2**BITS weights and a constant; the fit runs in SHARDS tasks whose states are averaged after each of EPOCHS rounds.
-BITS, SHARDS, EPOCHS = 18, 6, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.5
+BITS, SHARDS, EPOCHS = 18, 6, 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.0
 BLOCK = 1 << 21
 
 #: Words are runs of ASCII letters and digits and of all bytes of other characters.
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     some = labels.where(hashed < int((1 << 30) * min(1.0, sample / max(labels.count(), 1)) + 1)).withColumnRenamed("doc_id", "_doc")
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int")
-    rows = written(docs.join(F.broadcast(some), F.col("doc_id") == F.col("_doc")).select(shard.alias("shard"), F.xxhash64("doc_id").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_doc")).select(shard.alias("shard"), F.xxhash64("doc_id").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     context = docs.sparkSession.sparkContext
     for _ in range(EPOCHS):
