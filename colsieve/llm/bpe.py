@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,57 +166,73 @@ class Encoder:
             return self.older_words.findall(text.translate(self.small))
         return self.words.findall(text)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each block of texts: all ids, and where each text's begin."""
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < BLOCK:
-                split.append(self._split(texts[at]))
-                size += len(texts[at])
-                at += 1
-            if len(self.index) > KEPT_WORDS:
-                self._forget()
-            new = list({w for words in split for w in words}.difference(self.index))
-            if new:
-                flat, begins = merge_words(new, self.v)
-                self.index.update(zip(new, range(len(self.begins) - 1, len(self.begins) - 1 + len(new))))
-                self.begins = np.concatenate([self.begins, begins[1:] + len(self.flat)])
-                self.flat = np.concatenate([self.flat, flat])
-            n_words = np.array([len(words) for words in split])
-            known = np.fromiter(map(self.index.__getitem__, (w for words in split for w in words)), np.int64, n_words.sum())
-            first = self.begins[known]
-            length = self.begins[known + 1] - first
-            ends = np.concatenate([[0], np.cumsum(length)])
-            ids = self.flat[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
-            yield ids, ends[np.concatenate([[0], np.cumsum(n_words)])]
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, token_ids) of every whole text; a null or blank text has no tokens."""
+        split, size = [], 0
+        for text in texts:
+            split.append(self._split(text))
+            size += len(text)
+            if size >= BLOCK:
+                yield self._look_up(split)
+                split, size = [], 0
+        if split:
+            yield self._look_up(split)
+
+    def _look_up(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts' words, and where each text's begin. Words not seen before are merged together."""
+        if len(self.index) > KEPT_WORDS:
+            self._forget()
+        new = list({w for words in split for w in words}.difference(self.index))
+        if new:
+            flat, begins = merge_words(new, self.v)
+            self.index.update(zip(new, range(len(self.begins) - 1, len(self.begins) - 1 + len(new))))
+            self.begins = np.concatenate([self.begins, begins[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+        n_words = np.array([len(words) for words in split])
+        known = np.fromiter(map(self.index.__getitem__, (w for words in split for w in words)), np.int64, n_words.sum())
+        first = self.begins[known]
+        length = self.begins[known + 1] - first
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(n_words)])]
+
+
+def decode_ids(ids: list[int], tokens: list[str]) -> str:
+    """The tokens with a blank between, control tokens included."""
+    return " ".join(map(tokens.__getitem__, ids))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+    """(doc_id, token_ids) of every whole text; a null or blank text has no tokens.
+
+    With ``decoded`` the ids are decoded again where they are made, so that texts and ids don't go to and fro. Rows
+    come and go in blocks of about BLOCK characters: a task holds one block and the words it keeps.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, tokens = Encoder(shared.value), shared.value.tokens
         for batch in batches:
             at = 0
-            for ids, begins in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
+            for ids, begins in encoder.encode(t.as_py() or "" for t in batch.column("text")):
                 lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(lists)), lists], names=["doc_id", "token_ids"])
+                columns = [batch.column("doc_id").slice(at, len(lists)), lists]
+                if decoded:
+                    columns.append(pa.array([decode_ids(ids[a:b].tolist(), tokens) for a, b in zip(begins, begins[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "token_ids", "decoded"][: len(columns)])
                 at += len(lists)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, token_ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Add ``decoded``: the tokens of ``token_ids`` with a blank between, control tokens included (null: null)."""
+    """Add ``decoded`` to rows with ``token_ids`` (null: null)."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
     @F.pandas_udf("string")
     def text(lists: pd.Series) -> pd.Series:
-        token = shared.value.__getitem__
-        return pd.Series([None if ids is None else " ".join(map(token, ids.tolist())) for ids in lists], dtype=object)
+        return pd.Series([None if ids is None else decode_ids(ids.tolist(), shared.value) for ids in lists], dtype=object)
 
     return encoded.withColumn("decoded", text("token_ids"))
 
@@ -235,7 +251,7 @@ def vocabulary_path() -> str:
 
 def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = load(vocabulary_path())
-    decoded = decode(encode(table(spark, sf, "documents"), vocabulary), vocabulary)
+    decoded = encode(table(spark, sf, "documents"), vocabulary, decoded=True)
     return decoded.select("doc_id", *digests(decoded))
 
 

@@ -20,7 +20,8 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A script belongs to a language if it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
-BLOCK = 4_000_000
+#: Words are scored in pieces of about PIECE characters; the paths of a block of texts are walked together.
+BLOCK, PIECE = 6_000_000, 500_000
 
 # First and last code points of the letters of scripts, from the Unicode block chart.
 SCRIPTS = (
@@ -143,12 +144,12 @@ def best_paths(scores: np.ndarray, of_text: np.ndarray, switch: float) -> np.nda
     return path
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about BLOCK characters."""
+def _blocks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters."""
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (size < BLOCK):
+        while to < len(texts) and size < most:
             size += len(texts[to])
             to += 1
         yield at, to
@@ -162,13 +163,20 @@ def read_texts(texts: list[str], model: Model, switch: float = SWITCH) -> tuple[
     share of the letters. Without letters: ``und``, 0 and no spans.
     """
     langs, scores, firsts, ends, kinds, counts = [], [], [], [], [], []
-    for low, high in _blocks(texts):
-        words = read_words(texts[low:high])
-        of_text = words.of_text()
-        path = best_paths(score_words(words, model), of_text, switch)
-        doc = np.repeat(np.arange(high - low), np.diff(of_text))
+    for low, high in _blocks(texts, BLOCK):
+        first, end, n_words, likely = [], [], [], []
+        for a, b in _blocks(texts[low:high], PIECE):
+            words = read_words(texts[low + a : low + b])
+            n_words.append(np.diff(words.of_text()))
+            base = np.repeat(words.offsets[:-1], n_words[-1])
+            first.append(words.first - base)
+            end.append(words.end - base)
+            likely.append(score_words(words, model))
+        first, end, n_words = (np.concatenate(x) for x in (first, end, n_words))
+        path = best_paths(np.concatenate(likely), np.concatenate([[0], np.cumsum(n_words)]), switch)
+        doc = np.repeat(np.arange(high - low), n_words)
         weight = np.zeros((high - low, len(model.langs)), np.int64)
-        np.add.at(weight, (doc, path), words.end - words.first)
+        np.add.at(weight, (doc, path), end - first)
         total = weight.sum(axis=1)
         best = weight.argmax(axis=1)
         langs += [model.langs[b] if n else "und" for b, n in zip(best, total)]
@@ -177,9 +185,8 @@ def read_texts(texts: list[str], model: Model, switch: float = SWITCH) -> tuple[
         new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
         opens = np.flatnonzero(new)
         closes = np.append(opens[1:], len(path)) - 1 if len(opens) else opens
-        base = words.offsets[doc[opens]]
-        firsts.append(words.first[opens] - base)
-        ends.append(words.end[closes] - base)
+        firsts.append(first[opens])
+        ends.append(end[closes])
         kinds.append(path[opens])
         counts.append(np.bincount(doc[opens], minlength=high - low))
     def joined(parts):
@@ -205,7 +212,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mo
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             sums: dict[str, np.ndarray] = {}
-            for low, high in _blocks(texts):
+            for low, high in _blocks(texts, PIECE):
                 for lang in sorted(set(langs[low:high])):
                     words = read_words([t for t, x in zip(texts[low:high], langs[low:high]) if x == lang])
                     length = words.end - words.first

@@ -10,7 +10,7 @@ SHARDS, ROUNDS = 8, 5
 #: Documents stand in an order of 24 hashed bits; linked ones by 12 bits of their link, then 12 of their own.
 BITS, HALF = 24, 12
 #: Documents are dealt out by size, those over the first part of a shard first, so that smaller ones level the sizes.
-TIERS = (1 / 16, 1 / 128, 1 / 1024, 0)
+TIERS = (1 / 16, 1 / 128, 1 / 1024)
 #: Rows numbered by one task, about.
 NUMBERED = 20_000
 #: A link that more documents share is dealt out over several tasks of a join.
@@ -111,13 +111,18 @@ def level(linked: DataFrame, free: DataFrame, shards: int, target: float) -> Dat
         size = _sizes(linked, shards)
     free = free.withColumn("spot", _hash(BITS, "doc_id", "link", F.lit("free")).cast("int"))
     done = linked
-    free = settle(free.select(linked.columns))
-    for above, least in zip((float("inf"), *TIERS), TIERS):
-        some = free.where((F.col("size") > least * target) & (F.col("size") <= above * target)).withColumn("lane", F.lit(0))
-        total = some.agg(F.sum("size")).first()[0] or 0
-        room = [max(0.0, target - x) for x in size]
-        if not total:
+    free = free.select(linked.columns)
+    tier = F.lit(len(TIERS))
+    for i in reversed(range(len(TIERS))):
+        tier = F.when(F.col("size") > TIERS[i] * target, i).otherwise(tier)
+    tiers = settle(free.withColumns({"tier": tier, "lane": F.lit(0)}))
+    totals = {r.tier: r.total for r in tiers.groupBy("tier").agg(F.sum("size").alias("total")).collect()}
+    for i in sorted(totals):
+        some, total = tiers.where(F.col("tier") == i).drop("tier"), totals[i]
+        if not total:  # documents without size
+            done = done.unionByName(some.drop("lane").withColumn("shard", F.pmod("spot", F.lit(shards)).cast("int")))
             continue
+        room = [max(0.0, target - x) for x in size]
         if not sum(room):
             room = [1.0] * shards
         goals = [(0, s, total * sum(room[: s + 1]) / sum(room)) for s in range(shards - 1)]
