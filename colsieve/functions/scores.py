@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# Digits with a point and an exponent, infinity, nan: no hexadecimal numbers, no type letters behind.
+DECIMAL = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
+def decimal_number(value: Column) -> Column:
+    """Number of a column; text that is no decimal number is null. The cast alone would take literals like 12D."""
+    return F.when(F.trim(value.cast("string")).rlike(DECIMAL), value.try_cast("double"))
+
+
 def or_zero(value: Column) -> Column:
     """Number of a column; null, NaN and text that is no number become 0."""
     return or_default(value, 0.0)
 
 
 def or_default(value: Column, default: float) -> Column:
-    number = value.try_cast("double")
+    number = decimal_number(value)
     return F.when(number.isNull() | F.isnan(number), F.lit(float(default))).otherwise(number)
 
 

@@ -47,7 +47,7 @@ def check_exists(spark: SparkSession, dataset: str, check: str, path: str) -> Da
 def check_columns(df: DataFrame, check: str, required: Sequence[str]) -> DataFrame:
     """One row per dataset of the table; the schema decides."""
     missing = sorted(set(required) - set(df.columns))
-    detail = F.lit("missing=" + ",".join(missing))
+    detail = F.lit("columns not there: " + ",".join(missing))
     return _rows(df.select("dataset").distinct(), check, F.lit(not missing), detail)
 
 
@@ -58,17 +58,17 @@ def _joined(values: Column) -> Column:
 def check_methods(df: DataFrame, check: str, expected: Sequence[str] = METHODS) -> DataFrame:
     """The methods of a dataset are the expected ones, no more and no fewer."""
     if "method" not in df.columns:
-        return _rows(df.select("dataset").distinct(), check, F.lit(not expected), F.lit("methods="))
+        return _rows(df.select("dataset").distinct(), check, F.lit(not expected), F.lit("has methods "))
     found = df.select("dataset", "method").distinct().groupBy("dataset").agg(F.collect_set("method").alias("_m"))
     want = F.array(*[F.lit(m) for m in sorted(expected)])
-    return _rows(found, check, F.sort_array("_m") == want, F.concat(F.lit("methods="), _joined(F.col("_m"))))
+    return _rows(found, check, F.sort_array("_m") == want, F.concat(F.lit("has methods "), _joined(F.col("_m"))))
 
 
 def check_seeds(df: DataFrame, check: str, expected: int = EXPECTED_SEEDS) -> DataFrame:
     if "seed" not in df.columns:
-        return _rows(df.select("dataset").distinct(), check, F.lit(expected == 0), F.lit("seeds="))
+        return _rows(df.select("dataset").distinct(), check, F.lit(expected == 0), F.lit("has seeds "))
     found = df.select("dataset", "seed").distinct().groupBy("dataset").agg(F.collect_set("seed").alias("_s"))
-    return _rows(found, check, F.size("_s") == expected, F.concat(F.lit("seeds="), _joined(F.col("_s"))))
+    return _rows(found, check, F.size("_s") == expected, F.concat(F.lit("has seeds "), _joined(F.col("_s"))))
 
 
 def check_nulls(df: DataFrame, check: str, columns: Sequence[str] = MAIN_COLUMNS) -> DataFrame:
@@ -76,12 +76,12 @@ def check_nulls(df: DataFrame, check: str, columns: Sequence[str] = MAIN_COLUMNS
     looked = sorted(c for c in columns if c in df.columns and c not in ("dataset", "method"))
     counts = df.groupBy("dataset").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in looked])
     bad = F.concat_ws(",", *[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in looked])
-    return _rows(counts.withColumn("_bad", bad), check, F.col("_bad") == "", F.concat(F.lit("nulls="), F.col("_bad")))
+    return _rows(counts.withColumn("_bad", bad), check, F.col("_bad") == "", F.concat(F.lit("empty cells "), F.col("_bad")))
 
 
 def check_row_count(df: DataFrame, check: str, seeds: int = EXPECTED_SEEDS, methods: int = len(METHODS)) -> DataFrame:
     counts = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
-    detail = F.concat(F.lit(f"expected={seeds * methods}; actual="), F.col("_n").cast("string"))
+    detail = F.concat(F.lit(f"rows wanted {seeds * methods}, found "), F.col("_n").cast("string"))
     return _rows(counts, check, F.col("_n") == seeds * methods, detail)
 
 
@@ -91,27 +91,33 @@ def check_range(df: DataFrame, check: str, columns: Sequence[str] = UNIT_COLUMNS
         return _rows(df.select("dataset").distinct(), check, F.lit(False), F.lit("a score column is missing"))
     inside = reduce(lambda a, b: a & b, [F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False)) for c in columns])
     found = df.groupBy("dataset").agg(F.bool_and(inside).alias("_ok"))
-    return _rows(found, check, F.col("_ok"), F.lit("scores must be in [0, 1]"))
+    return _rows(found, check, F.col("_ok"), F.lit("every score lies between 0 and 1"))
+
+
+# The names of the published checks, each with its result table and rule.
+RULES = {
+    "main_required_columns": ("metrics", "columns", MAIN_COLUMNS),
+    "selected_required_columns": ("selected", "columns", SELECTED_COLUMNS),
+    "semantic_required_columns": ("semantic", "columns", SEMANTIC_COLUMNS),
+    "main_methods": ("metrics", "methods", None),
+    "selected_methods": ("selected", "methods", None),
+    "main_seed_count": ("metrics", "seeds", None),
+    "selected_seed_count": ("selected", "seeds", None),
+    "semantic_seed_count": ("semantic", "seeds", None),
+    "main_no_null_metrics": ("metrics", "nulls", None),
+    "main_row_count": ("metrics", "rows", None),
+    "semantic_scores_in_unit_interval": ("semantic", "range", None),
+}
 
 
 def _checked(present: Mapping[str, DataFrame | None], seeds: int, methods: Sequence[str]) -> list[DataFrame]:
-    rows = []
-    main, selected, semantic = (present.get(n) for n in ("metrics", "selected", "semantic"))
-    if main is not None:
-        rows.append(check_columns(main, "main_required_columns", MAIN_COLUMNS))
-        rows.append(check_methods(main, "main_methods", methods))
-        rows.append(check_seeds(main, "main_seed_count", seeds))
-        rows.append(check_nulls(main, "main_no_null_metrics"))
-        rows.append(check_row_count(main, "main_row_count", seeds, len(methods)))
-    if selected is not None:
-        rows.append(check_columns(selected, "selected_required_columns", SELECTED_COLUMNS))
-        rows.append(check_methods(selected, "selected_methods", methods))
-        rows.append(check_seeds(selected, "selected_seed_count", seeds))
-    if semantic is not None:
-        rows.append(check_columns(semantic, "semantic_required_columns", SEMANTIC_COLUMNS))
-        rows.append(check_seeds(semantic, "semantic_seed_count", seeds))
-        rows.append(check_range(semantic, "semantic_scores_in_unit_interval"))
-    return rows
+    """The rules whose result table is there."""
+    rules = {
+        "columns": check_columns, "methods": lambda df, check, _: check_methods(df, check, methods),
+        "seeds": lambda df, check, _: check_seeds(df, check, seeds), "nulls": lambda df, check, _: check_nulls(df, check),
+        "rows": lambda df, check, _: check_row_count(df, check, seeds, len(methods)), "range": lambda df, check, _: check_range(df, check),
+    }
+    return [rules[rule](present[name], check, wanted) for check, (name, rule, wanted) in RULES.items() if present.get(name) is not None]
 
 
 def check_report(

@@ -49,7 +49,7 @@ def score_counts(predictions: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
 
 def _running(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Class counts above each score within its group."""
-    above = Window.partitionBy(*group).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*group).orderBy(F.col("score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumns({
         "pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)),
         "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0)),
@@ -59,6 +59,7 @@ def _running(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 def score_curve(counts: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_TASK_ROWS) -> DataFrame:
     """One row per group and distinct score: class counts here and above the score.
 
+    A missing score is below all others, NaN above them.
     If a group is too large for one task, running totals are taken inside buckets
     of the score and each bucket adds the totals of the buckets above it.
     """
@@ -109,7 +110,7 @@ def classification_metrics(predictions: DataFrame, by: Sequence[str] = CELL, lim
     """All four metrics from one pass over the predictions."""
     counts = score_counts(predictions, by)
     outcomes = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_rows", "_correct", "_tp", "_any")])
-    return _accuracy_f1(outcomes, by).join(_ranking_metrics(counts, by, limit), list(by), "left")
+    return attach(_accuracy_f1(outcomes, by), _ranking_metrics(counts, by, limit), by, "left")
 
 
 def leak_selection(selected: DataFrame, n_injected: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from colsieve.functions.scores import decimal_number
+
 COERCE_SHARE = 0.95
 MISSING_TEXT = "nan"
 EXAMPLES = 4
@@ -71,12 +73,8 @@ def _text_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def parsed_number(column: str) -> Column:
-    """Text as a number; text that is none, and 'nan', is null.
-
-    The first characters are looked at before the cast, as a failing cast costs an exception.
-    """
-    text = F.trim(F.col(column))
-    value = F.when(text.rlike(r"^[+-]?[0-9.iInN]"), text.try_cast("double"))
+    """Text as a number; text that is no decimal number, and 'nan', is null."""
+    value = decimal_number(F.trim(F.col(column)))
     return F.when(~F.isnan(value), value)
 
 

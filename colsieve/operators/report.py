@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colsieve.operators.select import ABLATIONS, AWARE_METHOD, METHODS, STAT_METHODS
+from colsieve.plans.ranking import number_rows
 
+# The metrics of the published tables.
 MAIN_METRICS = (
     "leaky_auroc", "clean_auroc", "leaky_f1", "clean_f1", "deployment_drop",
     "selected_leakage_count", "selected_leakage_ratio", "injected_leakage_recall",
@@ -39,8 +41,14 @@ def mean_std(results: DataFrame, metrics: Sequence[str] = MAIN_METRICS, by: Sequ
     return results.groupBy(*by).agg(*columns)
 
 
+def three_places(value: Column) -> Column:
+    """Three decimals as text, ties away from zero. Twelve places are kept before, so that noise of float sums decides no tie."""
+    tidy = F.round(value.try_cast("decimal(30,12)"), 3)
+    return F.coalesce(F.format_string("%.3f", tidy.cast("double")), F.format_string("%.3f", value))
+
+
 def _text(mean: Column, deviation: Column) -> Column:
-    shown = lambda c: F.when(c.isNull(), "nan").otherwise(F.format_string("%.3f", c))
+    shown = lambda c: F.when(c.isNull(), "nan").otherwise(three_places(c))
     return F.concat(shown(mean), F.lit(" +/- "), shown(deviation))
 
 
@@ -96,7 +104,9 @@ def selection_frequency(selected: DataFrame) -> DataFrame:
 
 
 def ordered_frequency(frequency: DataFrame, order: Sequence[str] = METHODS) -> DataFrame:
-    return frequency.orderBy("dataset", method_order(order), F.col("selected_count").desc(), "mean_rank", "feature")
+    """The frequency table in its published order; ``position`` counts from 1."""
+    by = [F.col("dataset"), method_order(order), F.col("selected_count").desc(), F.col("mean_rank"), F.col("feature")]
+    return number_rows(frequency, [], by, "position").orderBy("position")
 
 
 def semantic_summary(raw: DataFrame) -> DataFrame:
@@ -165,6 +175,6 @@ def report_cut(table: DataFrame, order: Sequence[str], rows: int = TABLE_ROWS) -
     """The first rows of a report table, its floats as text with three decimals."""
     cut = table.orderBy(*order).limit(rows)
     return cut.select(*[
-        F.format_string("%.3f", F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name)
+        three_places(F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name)
         for f in table.schema
     ])

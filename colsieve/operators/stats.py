@@ -7,16 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.functions.scores import close, or_zero
 from colsieve.operators.prep import Encoder, fit_encoder
 from colsieve.operators.target import label_text
+from colsieve.plans.ranking import number_rows
 from colsieve.plans.settle import attach, settle
 
 TREES = 300
-# More classes than this are an id or a number, not classes.
-MAX_CLASSES = 1000
 MAX_DEPTH = 30
 MAX_ITERATIONS = 5000
 # Tolerances below which all scores count as equal.
@@ -25,13 +24,16 @@ STRICT_RELATIVE = 1e-9
 
 
 def label_weights(train: DataFrame, target: str) -> DataFrame:
-    """(_label, label, weight): class numbers in text order; weight = rows / (classes * rows of the class)."""
+    """(_label, label, weight): class numbers in text order; weight = rows / (classes * rows of the class).
+
+    The label column says how many classes there are, so that no fit has to look.
+    """
     counts = settle(train.groupBy(label_text(target).alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    if totals["k"] > MAX_CLASSES:
-        raise ValueError(f"the target has {totals['k']} classes; make at most {MAX_CLASSES} of it first")
-    return counts.select(
-        "_label", (F.row_number().over(Window.orderBy("_label")) - 1).cast("double").alias("label"),
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": totals["k"]}}
+    numbered = number_rows(counts, [], [F.col("_label")], "_number")
+    return numbered.select(
+        "_label", (F.col("_number") - 1).cast("double").alias("label", metadata=nominal),
         (F.lit(float(totals["n"])) / (F.lit(float(totals["k"])) * F.col("_n"))).alias("weight"),
     )
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 # A group of up to this many rows is sorted by one task.
 ONE_TASK_ROWS = 500_000
-MOST_BUCKETS = 20_000
 
 
 def needs_buckets(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS) -> int:
@@ -21,14 +20,16 @@ def needs_buckets(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS)
 
 
 def order_buckets(df: DataFrame, column: str, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add ``_bucket``: larger values never fall into a smaller bucket.
+    """Add ``_bucket``: larger values never fall into a smaller bucket. Null is the least value, NaN the greatest.
 
     The splits are quantiles over the whole table, so a bucket holds about half
     of ``limit`` rows, also if one group holds most of the table. ``df`` must be
     settled and hold one row per group and value.
     """
-    buckets = min(MOST_BUCKETS, max(2, -(-2 * rows // limit)))
+    buckets = max(2, -(-2 * rows // limit))
     steps = [i / buckets for i in range(1, buckets)]
     inner = sorted(set(df.approxQuantile(column, steps, 1.0 / (8 * buckets))))
-    splits = [float("-inf"), *inner, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol="_bucket", handleInvalid="keep").transform(df)
+    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
+    known = df.withColumn("_known", F.coalesce(F.col(column), F.lit(0.0)))
+    cut = Bucketizer(splits=splits, inputCol="_known", outputCol="_bucket", handleInvalid="keep").transform(known)
+    return cut.withColumn("_bucket", F.when(F.col(column).isNull(), -1.0).otherwise(F.col("_bucket"))).drop("_known")

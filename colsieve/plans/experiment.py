@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +16,10 @@ from colsieve.plans.settle import settle
 from colsieve.sources.snapshots import LabelledTable
 
 
+# Number of the greater of two labels, and so the place of its probability.
+GREATER = 1
+
+
 @dataclass(frozen=True)
 class RunSettings:
     seeds: Sequence[int] = (1, 2, 3, 4, 5)
@@ -53,6 +57,11 @@ def role_scores(raw: DataFrame, role: str, seeds: Sequence[int]) -> DataFrame:
     return with_seeds(semantic.aggregate_prompts(raw.where(F.col("scoring_role") == role), ["dataset"]), seeds)
 
 
+def _with_target(table: LabelledTable) -> LabelledTable:
+    """Rows without a target are left out before anything is split or fitted."""
+    return replace(table, rows=profile.drop_null_target(table.rows, table.spec.target))
+
+
 def _greatest_label(table: LabelledTable) -> Column:
     """The target as 0/1; text order of the two labels decides."""
     label = F.col(table.spec.target).cast("string")
@@ -117,7 +126,7 @@ def fit_and_predict(
     scored = model.transform(stats.slice_features(test, train.encoder, features))
     return scored.select(
         "setting", "row_id", "label", F.col("prediction").cast("int").alias("pred"),
-        vector_to_array("probability")[1].alias("score"),
+        F.get(vector_to_array("probability"), F.lit(GREATER)).alias("score"),
     )
 
 
@@ -179,6 +188,7 @@ def run_main(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSe
     Fits are separate Spark jobs per seed; everything before and after them is
     one job for all seeds and methods.
     """
+    table = _with_target(table)
     label, seeds = _greatest_label(table), _seeds(table, settings)
     stat = stat_table(table, seeds, settings)
     relevance = role_scores(raw, select.RELEVANCE_METHOD, settings.seeds)
@@ -194,6 +204,7 @@ def run_main(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSe
 
 def run_ablation(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSettings()) -> RunResult:
     """The full leakage-aware score and its variants; all weight sets are ranked in one pass."""
+    table = _with_target(table)
     label, seeds = _greatest_label(table), _seeds(table, settings)
     stat = stat_table(table, seeds, settings, forest_only=True)
     own = raw.where(F.col("scoring_role") == select.AWARE_METHOD)
@@ -245,10 +256,7 @@ def analyze(
     profile.require_column(df, target)
     rows = profile.drop_null_target(df, target)
     profile.require_two_classes(rows, target)
-    classes = profile.class_list(rows, target)
-    labels = [r[0] for r in classes.limit(stats.MAX_CLASSES + 1).collect()]
-    if len(labels) > stats.MAX_CLASSES:
-        raise ValueError(f"the target has more than {stats.MAX_CLASSES} classes; make classes of it first")
+    classes = profile.class_list(rows, target).agg(F.sort_array(F.collect_list("class")).alias("target_classes"))
     clean = profile.drop_constant(rows, profile.feature_names(rows, target, row_id))
     features = profile.feature_names(clean, target, row_id)
     if not features:
@@ -279,10 +287,10 @@ def analyze(
             "rankings",
         ))).alias("methods")
     )
-    summary = methods.select(
+    summary = methods.join(classes.withColumn("dataset", F.lit(name)), "dataset").select(
         "dataset", F.lit(target).alias("target"), F.lit(rows.count()).alias("rows"),
         F.lit(len(features)).alias("feature_count"), k.alias("selected_count"),
-        F.array(*[F.lit(x) for x in labels]).alias("target_classes"),
+        "target_classes",
         F.lit("offline" if external is None else "external+rules").alias("scoring_mode"), "methods",
     )
     return summary, rankings

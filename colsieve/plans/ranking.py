@@ -15,7 +15,7 @@ ONE_TASK_ROWS = 500_000
 def number_rows(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], output: str = "rank", limit: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """Number the rows of each group from 1. ``order`` must leave no ties.
+    """Number the rows of each group from 1, as long. ``order`` must leave no ties; null keys are a group.
 
     If a group is too large for one task, the table is range-partitioned by group
     and order, each piece is numbered on its own, and the rows of the group that
@@ -25,7 +25,7 @@ def number_rows(
     df = settle(df)
     total = df.count()
     if total <= limit or (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= limit:
-        return df.withColumn(output, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return df.withColumn(output, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     pieces = -(-total // limit) * 2
     # The piece number is stored with the rows, so both uses below see the same cut.
     cut = settle(df.repartitionByRange(int(pieces), *by, *order).withColumn("_piece", F.spark_partition_id()))
@@ -34,4 +34,4 @@ def number_rows(
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)))
     placed = attach(local, offsets, [*by, "_piece"], "inner")
-    return placed.withColumn(output, (F.col("_local") + F.col("_before")).cast("int")).drop("_piece", "_local", "_before")
+    return placed.withColumn(output, F.col("_local") + F.col("_before")).drop("_piece", "_local", "_before")

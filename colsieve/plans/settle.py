@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,18 +15,12 @@ JOIN_SALTS = 32
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a local session may get a folder of its own."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one inside the warehouse, which is shared as well."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="colsieve-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(folder)
-    return folder
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def _is_settled(df: DataFrame) -> bool:
@@ -41,6 +34,8 @@ def settle(df: DataFrame) -> DataFrame:
     For results that are used several times: later steps neither recompute the
     inputs nor see other rows when a lost executor's work is redone.
     """
+    if _is_settled(df):
+        return df
     checkpoint_folder(df.sparkSession)
     written = df.checkpoint(eager=True)
     written._settled = True
@@ -56,16 +51,19 @@ def _is_small(lookup: DataFrame, limit: int) -> bool:
 def attach(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join a lookup (unique on ``on``) to a large, possibly skewed table.
+    """Join a lookup (unique on ``on``) to a large, possibly skewed table; a null key meets the null key.
 
     The lookup is written and measured. Up to ``limit`` rows and 32 MB it is
     broadcast and the large side does not move. Beyond that both sides are
     salted, so a hot key is spread over many tasks.
     """
     on = list(on)
-    lookup = lookup if _is_settled(lookup) else settle(lookup)
+    lookup = settle(lookup)
+    keyed = lookup.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in on])
+    extra = [f"_of_{c}" for c in on]
     if _is_small(lookup, limit):
-        return rows.join(F.broadcast(lookup), on, how)
+        return rows.join(F.broadcast(keyed), same, how).drop(*extra)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    copies = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return salted.join(copies, same & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy", *extra)

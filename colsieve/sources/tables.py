@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from colsieve.plans.settle import settle
+
 TEXT_ENCODINGS = ("UTF-8", "GBK")
+ALL_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -55,9 +58,14 @@ def read_checked_csv(spark: SparkSession, path: str) -> DataFrame:
     encoding = TEXT_ENCODINGS[0]
     if _undecodable(spark, path):
         encoding = TEXT_ENCODINGS[1]
-        # Spark reads this encoding only where all Java encodings are allowed.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = nan_as_null(read_csv(spark, path, encoding=encoding))
+    # Spark reads some encodings only where all Java encodings are allowed; other queries keep the session's setting.
+    before = spark.conf.get(ALL_CHARSETS, "false")
+    spark.conf.set(ALL_CHARSETS, "true" if encoding == TEXT_ENCODINGS[1] else before)
+    try:
+        df = nan_as_null(read_csv(spark, path, encoding=encoding))
+        df = settle(df) if encoding == TEXT_ENCODINGS[1] else df
+    finally:
+        spark.conf.set(ALL_CHARSETS, before)
     if df.isEmpty():
         raise ValueError("the table has no rows")
     if len(df.columns) < 2:

@@ -11,6 +11,7 @@ from colsieve.operators import profile, select, semantic, stats
 from colsieve.operators.inject import leak_names
 from colsieve.plans.settle import settle
 from registry import sql
+from registry.rows import EVENT_COLUMNS, PROFILE_SQL
 from registry.frames import (
     event_table, rankings, six, stat_scores, table, word_catalog, word_columns, word_scores,
 )
@@ -176,11 +177,15 @@ def aggregate_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_request(spark: SparkSession, sf: str) -> DataFrame:
+    """The request for the events table, read back from its JSON."""
     events = event_table(spark, sf)
-    columns = ["code", "shape", "gap", "hour", "user_id"]
-    shown = profile.profile(events, columns, "row_id").withColumn("dataset", F.lit("events"))
+    shown = profile.profile(events, EVENT_COLUMNS, "row_id").withColumn("dataset", F.lit("events"))
     classes = [r[0] for r in profile.class_list(events, EVENT_TARGET).collect()]
-    return semantic.batch_request(shown, ["dataset"], EVENT_TARGET, classes)
+    request = semantic.batch_request(shown, ["dataset"], EVENT_TARGET, classes)
+    column = "feature: string, dtype: string, missing_ratio: double, unique_values: bigint, examples: array<string>, stat_score: double"
+    read = F.from_json("request", f"target string, classes array<string>, features array<struct<{column}>>").alias("r")
+    told = request.select("dataset", "n_features", read).select("dataset", "n_features", "r.target", F.array_join("r.classes", "|").alias("classes"), F.inline("r.features"))
+    return told.withColumn("examples", F.array_join("examples", "|"))
 
 
 def topk_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +276,7 @@ def _filled(template: str) -> str:
     return parts.replace("\n", "' || chr(10) || '")
 
 
-_PROMPT = "CASE prompt_variant " + " ".join(f"WHEN {sql.text(p.name)} THEN {_filled(p.template)}" for p in semantic.PROMPTS) + " END"
+PROMPT_SQL = "CASE prompt_variant " + " ".join(f"WHEN {sql.text(p.name)} THEN {_filled(p.template)}" for p in semantic.PROMPTS) + " END"
 _KEY_PARTS = "'semantic_score', dataset, feature, replace(feature, '_', ' '), prompt_variant, {provider}'names', '0.0', ''"
 _KEY = f"substr(sha256(concat_ws(chr(31), {_KEY_PARTS.format(provider=chr(39) + 'rules' + chr(39) + ', ')})), 1, 24)"
 _OLD_KEY = f"substr(sha256(concat_ws(chr(31), {_KEY_PARTS.format(provider='')})), 1, 24)"
@@ -279,7 +284,7 @@ _CACHE_DRAW = _U("'cache'", "prompt_variant", _NAME)
 _RISKY = f"list_has_any({sql.tokens()}, {sql.texts(sql.RISKY)})"
 _RULES_A = f"""
   SELECT dataset, feature, prompt_variant,
-    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), 'signal|history|credit|tenure|contract') THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS semantic_relevance,
+    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS semantic_relevance,
     CASE WHEN plain THEN 1.0::DOUBLE WHEN risky THEN 0.15::DOUBLE ELSE 0.85::DOUBLE END AS prediction_time_availability,
     CASE WHEN plain THEN 0.0::DOUBLE WHEN risky THEN 0.9::DOUBLE ELSE 0.15::DOUBLE END AS leakage_risk,
     CASE WHEN plain THEN 'Relevance by name only.' WHEN risky THEN 'The name points to something known after the outcome.'
@@ -320,7 +325,7 @@ _LEAK_LIST = ", ".join(sql.text(n) for n in leak_names())
 _RISK_SHIFT = _U("'risk'", "prompt_variant", _NAME) + " / 10.0::DOUBLE"
 _N = "count(*) FILTER (NOT x)"
 _INTERACTIVE = f"""
-  SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY score DESC, stat_score DESC, feature)::INTEGER AS rank
+  SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY score DESC, stat_score DESC, feature) AS rank
   FROM (SELECT *, unnest([{{'method': 'forest', 'score': stat_score}}, {{'method': 'leakage_aware', 'score': aware_score}}], recursive := true)
         FROM (SELECT dataset, feature, stat_score, semantic_relevance, leakage_risk, availability, uncertainty,
                 round(0.6::DOUBLE * stat_score + 0.4::DOUBLE * semantic_relevance - 0.5::DOUBLE * leakage_risk - 0.3::DOUBLE * (1 - availability) - 0.2::DOUBLE * uncertainty, 6) AS aware_score
@@ -340,7 +345,7 @@ SQL = {
     "corr_scores": sql.six("SELECT dataset, seed, scorer, feature, importance, stat_score FROM stat WHERE scorer = 'forest'", "importance stat_score"),
     "prompt_jobs": sql.with_tables("SELECT dataset, feature, prompt_variant FROM word_columns, prompts"),
     "prompt_text": sql.with_tables(
-        f"SELECT dataset, feature, prompt_variant, md5(t) AS digest, length(t)::INTEGER AS n_chars FROM (SELECT *, {_PROMPT} AS t FROM word_columns, prompts)"
+        f"SELECT dataset, feature, prompt_variant, md5(t) AS digest, length(t)::INTEGER AS n_chars FROM (SELECT *, {PROMPT_SQL} AS t FROM word_columns, prompts)"
     ),
     "cache_misses": sql.with_tables(
         f"SELECT dataset, feature, prompt_variant, {_KEY} AS score_key FROM word_columns, prompts WHERE {_CACHE_DRAW} >= 0.6"
@@ -375,6 +380,9 @@ SQL = {
         f" FROM ({_RULES_A}) WHERE dataset <> 'conv_1' OR prompt_variant = 'leakage' GROUP BY 1, 2",
         "avg_semantic_relevance avg_availability avg_leakage_risk uncertainty",
     ),
+    "batch_request": sql.with_tables(
+        f"SELECT 'events' AS dataset, 10 AS n_features, '{EVENT_TARGET}' AS target, (SELECT string_agg(DISTINCT event_type, '|' ORDER BY event_type) FROM events) AS classes, p.* FROM ({PROFILE_SQL}) p"
+    ),
     "topk_budget": sql.with_tables(
         f"SELECT dataset, {_N}::INTEGER AS n_original_features, count(*) FILTER (x)::INTEGER AS n_injected_features, greatest(1, ceil({_N} * 0.4::DOUBLE))::INTEGER AS k,"
         f" least({_N}, 25)::INTEGER AS k_fixed, greatest(1, ceil({_N} * 0.05::DOUBLE))::INTEGER AS k_least, {_N}::INTEGER AS k_all"
@@ -384,14 +392,14 @@ SQL = {
         "SELECT dataset, seed, method, feature, score, rank FROM ranked WHERE selected AND method LIKE 'tfs%'", "score"
     ),
     "rank_relevance": sql.with_tables(
-        "SELECT dataset, 1 AS seed, 'semantic_only' AS method, feature, semantic_relevance AS score, rank::INTEGER AS rank FROM"
+        "SELECT dataset, 1 AS seed, 'semantic_only' AS method, feature, semantic_relevance AS score, rank FROM"
         " (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY semantic_relevance DESC, feature) AS rank, count(*) OVER (PARTITION BY dataset) AS n"
         f" FROM ({_RULES_A}) WHERE prompt_variant = 'relevance') WHERE rank <= ceil(n * 0.4::DOUBLE)"
     ),
     "rank_leakage_aware": sql.six("SELECT * FROM ranked WHERE method = 'leakage_aware'", "score"),
     "rank_ablations": sql.six(
         "SELECT s.dataset, s.seed, s.method, s.feature, s.score, s.rank, s.rank <= b.k AS selected, c.is_injected_leakage FROM (SELECT dataset, seed, method, feature, round(score, 6) AS score,"
-        " row_number() OVER (PARTITION BY dataset, seed, method ORDER BY round(score, 6) DESC, feature)::INTEGER AS rank FROM ablated) s"
+        " row_number() OVER (PARTITION BY dataset, seed, method ORDER BY round(score, 6) DESC, feature) AS rank FROM ablated) s"
         " JOIN budget b USING (dataset) JOIN catalog c ON c.dataset = s.dataset AND c.feature = s.feature", "score"
     ),
     "rank_interactive": sql.six(f"SELECT *, rank <= 10 AS selected FROM ({_INTERACTIVE})", f"stat_score {_FOUR} aware_score score"),

@@ -35,11 +35,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def six(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places, minus zero as zero."""
-    return df.select(*[
-        (F.round(F.col(f.name), 6) + F.lit(0.0)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
-        for f in df.schema
-    ])
+    """Doubles rounded to six places, minus zero as zero.
+
+    They go through twelve decimal places first: what float sums add to a tie is far below, so that a tie has one answer.
+    """
+    def rounded(c: str) -> Column:
+        tidy = F.round(F.col(c).try_cast("decimal(30,12)"), 6).cast("double")
+        return (F.coalesce(tidy, F.round(F.col(c), 6)) + F.lit(0.0)).alias(c)
+
+    return df.select(*[rounded(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
 def order_base(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,78 +173,63 @@ def rankings(spark: SparkSession, sf: str, methods: tuple[str, ...] = select.MET
     )
 
 
-# Per method: leak that its stand-in score leans on, and how much. The clean score cannot see the leak.
-LEANING = {
-    "tfs_rf": (0, 0.6), "tfs_logreg": (1, 0.5), "tfs_lasso": (3, 0.4), "semantic_only": (7, 0.3), "leakage_aware": (None, 0.1),
-}
-
+# Numbers are counted by the floor of the value times this; ten where nothing is given.
+BINS = {"account_balance": 0.01, "line_quantity": 0.1, "line_discount": 100.0}
+MICRO = 1_000_000
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(dataset, seed, method, setting, row_id, label, pred, score): every order scored by every method.
-
-    The score is a noisy copy of the target seen through a leak, so it behaves as a model that leans on it.
-    """
-    y, row = F.col("y"), F.col("row_id")
-    rows = order_table(spark, sf).select("row_id", "dataset", order_bit().alias("y"))
-    cells = []
-    for method, (leak, weight) in LEANING.items():
-        spec = inject.LEAKS[leak] if leak is not None else None
-        seen = inject.noisy_bit(y, "row_id", spec, inject.NOISE_BY_LEVEL[spec.level], LEAK_SEED) if spec else y
-        for setting in ("leaky", "clean"):
-            signal = seen.cast("double") if setting == "leaky" or spec is None else F.lit(0.5)
-            cells.append(F.struct(
-                F.lit(method).alias("method"), F.lit(setting).alias("setting"), (signal * F.lit(weight)).alias("_signal"),
-                F.lit(1.0 - weight).alias("_rest"),
-            ))
-    long = split.with_seeds(rows, SEEDS).select("*", F.inline(F.array(*cells)))
-    draw = u01(F.col("seed"), F.concat_ws(":", "method", "setting"), row)
-    scored = long.withColumn("score", F.round(F.col("_signal") + F.col("_rest") * draw, 6))
-    return scored.select(
-        "dataset", "seed", "method", "setting", "row_id", F.col("y").alias("label"),
-        (F.col("score") > 0.5).cast("int").alias("pred"), "score",
-    )
 
+def _cells(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per row and feature: the kept columns, feature, value as text."""
+    def value(c: str) -> Column:
+        numeric = c in NUMERIC or c in LEAK_NUMERIC
+        return (F.floor(F.col(c).cast("double") * BINS.get(c, 10.0)).cast("long") if numeric else F.col(c)).cast("string")
 
-def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    budget = settle(order_budget(spark, sf))
-    measured = metrics.classification_metrics(predictions(spark, sf))
-    chosen = select.top_k(rankings(spark, sf))
-    return metrics.metric_rows(metrics.by_setting(measured), metrics.leak_selection(chosen, budget), budget)
+    features = (*NUMERIC, *CATEGORICAL, *LEAK_NUMERIC, *LEAK_CATEGORICAL)
+    entries = [F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features]
+    return df.select(*keep, F.inline(F.array(*entries)))
 
 
-def result_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows for the report operators from one aggregation.
+def predictions(spark: SparkSession, sf: str, ranked: DataFrame) -> DataFrame:
+    """(dataset, seed, method, setting, row_id, label, pred, score): the test rows of each seed, scored by the chosen features.
 
-    The AUROC columns hold the gap between the classes' mean scores (plus one half), which is cheaper.
+    The model counts: a feature's value stands for the share of class 1 among the training rows that have it, in whole
+    millionths, the share among all training rows if there are none. A row's score is the mean over the chosen features.
+    Masked leaks have values that no training row has. All sums are of whole numbers.
     """
-    one, positive = F.col("label") == 1, F.col("pred") == 1
-    cells = predictions(spark, sf).groupBy("dataset", "seed", "method", "setting").agg(
-        F.round(F.avg(F.when(one, F.col("score"))) - F.avg(F.when(~one, F.col("score"))) + 0.5, 6).alias("auroc"),
-        F.round(2.0 * F.count_if(one & positive) / (F.count_if(one) + F.count_if(positive)), 6).alias("f1"),
-        F.floor(10.0 * F.avg(F.col("pred"))).cast("double").alias("leaks"),
-    )
-    wide = cells.groupBy("dataset", "seed", "method").agg(
-        *[F.max(F.when(F.col("setting") == s, F.col(m))).alias(f"{s}_{m}") for s in ("leaky", "clean") for m in ("auroc", "f1")],
-        F.max(F.when(F.col("setting") == "leaky", F.col("leaks"))).alias("selected_leakage_count"),
+    rows = split_leaky_orders(spark, sf)
+    train, test = (rows.where(F.col("part") == part) for part in ("train", "test"))
+    share = F.floor(F.sum("y") * MICRO / F.count(F.lit(1))).cast("long")
+    shares = _cells(train, "dataset", "seed", "y").groupBy("dataset", "seed", "feature", "value").agg(share.alias("share"))
+    base = train.groupBy("dataset", "seed").agg(share.alias("base"))
+    masked = inject.apply_mask(test, {l: inject.UNAVAILABLE if l in LEAK_CATEGORICAL else None for l in inject.leak_names()})
+    settings = test.withColumn("setting", F.lit("leaky")).unionByName(masked.withColumn("setting", F.lit("clean")))
+    chosen = select.top_k(ranked).select("dataset", "seed", "method", "feature")
+    seen = _cells(settings, "dataset", "seed", "setting", "row_id", F.col("y").alias("label")).join(chosen, ["dataset", "seed", "feature"])
+    known = seen.join(shares, ["dataset", "seed", "feature", "value"], "left").join(base, ["dataset", "seed"])
+    sums = known.groupBy("dataset", "seed", "method", "setting", "row_id", "label").agg(
+        F.sum(F.coalesce("share", "base")).alias("_sum"), (F.count(F.lit(1)) * MICRO).alias("_most")
     )
-    by_name = F.col("method").isin(select.RELEVANCE_METHOD, select.AWARE_METHOD)
-    return wide.select(
-        "dataset", "seed", "method", F.when(by_name, "rules").otherwise("none").alias("llm_provider"),
-        F.when(by_name, "names").otherwise("none").alias("llm_model"), F.lit(4).alias("k"),
-        "leaky_auroc", "leaky_f1", "clean_auroc", "clean_f1",
-        F.round(F.col("leaky_auroc") - F.col("clean_auroc"), 6).alias("deployment_drop"), "selected_leakage_count",
-        (F.col("selected_leakage_count") / 10.0).alias("selected_leakage_ratio"),
-        (F.col("selected_leakage_count") / 20.0).alias("injected_leakage_recall"),
+    return sums.select(
+        "dataset", "seed", "method", "setting", "row_id", "label",
+        (2 * F.col("_sum") > F.col("_most")).cast("int").alias("pred"), (F.col("_sum") / F.col("_most")).alias("score"),
     )
 
 
-ABLATION_OF = {"leakage_aware": "full", "tfs_rf": "no_leakage", "tfs_logreg": "no_availability", "tfs_lasso": "no_uncertainty"}
+def _measured(spark: SparkSession, sf: str, ranked: DataFrame, scorers=None) -> DataFrame:
+    """The result rows of some rankings."""
+    ranked, budget = settle(ranked), settle(order_budget(spark, sf))
+    measured = metrics.classification_metrics(predictions(spark, sf, ranked))
+    return metrics.metric_rows(metrics.by_setting(measured), metrics.leak_selection(select.top_k(ranked), budget), budget, scorers)
+
+
+def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _measured(spark, sf, rankings(spark, sf))
 
 
 def ablation_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The result rows under the names of the ablation variants; the fifth method has none."""
-    names = F.create_map(*[F.lit(x) for pair in ABLATION_OF.items() for x in pair])
-    return result_rows(spark, sf).withColumn("method", F.try_element_at(names, F.col("method"))).where(F.col("method").isNotNull())
+    """Result rows of the leakage-aware score's variants."""
+    variants = select.ablations(select.Weights())
+    return _measured(spark, sf, rankings(spark, sf, (), variants), {v: ("rules", "names") for v in variants})
 
 
 def word_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,15 +267,19 @@ def order_labelled(spark: SparkSession, sf: str) -> LabelledTable:
 
 
 def event_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with numbers kept as text: 'code' nearly always parses, 'shape' only mostly, 'gap' has missing values."""
+    """Events with numbers kept as text: 'code' nearly always parses, 'shape' only mostly, 'gap' has missing values.
+
+    Some shapes look like numbers of a programming language and are none.
+    """
     row = F.col("event_id")
+    shape = u01(1, "shape", row)
     k = F.get_json_object("props", "$.k")
     return table(spark, sf, "events").select(
         row.alias("row_id"),
         (F.col("event_type") == "purchase").cast("int").alias("purchase"),
         "event_type",
         F.when(u01(1, "code", row) < 0.02, "n/a").otherwise(k).alias("code"),
-        F.when(u01(1, "shape", row) < 0.10, "odd").otherwise(k).alias("shape"),
+        F.when(shape < 0.04, "odd").when(shape < 0.06, "12D").when(shape < 0.08, "3f").when(shape < 0.10, "0x1p3").otherwise(k).alias("shape"),
         F.when(u01(1, "gap", row) >= 0.05, F.col("value")).alias("gap"),
         F.when(u01(1, "kind", row) >= 0.05, F.col("event_type")).alias("kind"),
         F.hour("ts").alias("hour"), "user_id",

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.operators import checks, metrics, report, select
 from colsieve.plans import experiment
 from colsieve.plans.settle import settle
 from registry import frames, sql
-from registry.frames import SEEDS, ablation_rows, metric_rows as metric_frame, order_budget, order_semantic, predictions, rankings, result_rows, six, table
+from registry.frames import SEEDS, ablation_rows, metric_rows as result_rows, order_budget, order_semantic, rankings, six, table
+
+
+GIVEN = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+)
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.predictions(spark, sf, rankings(spark, sf))
 
 
 def acc_f1(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +66,7 @@ def prompt_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return six(metric_frame(spark, sf))
+    return six(result_rows(spark, sf))
 
 
 def mean_std(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +95,14 @@ def _word_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return experiment.offline_semantic(frames.word_catalog(spark, sf))
 
 
+def frequency_order(spark: SparkSession, sf: str) -> DataFrame:
+    return six(report.ordered_frequency(report.selection_frequency(select.top_k(rankings(spark, sf)))))
+
+
+def ablation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return six(report.mean_std(ablation_rows(spark, sf), report.ABLATION_METRICS))
+
+
 def semantic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return six(report.semantic_summary(_word_semantic(spark, sf)))
 
@@ -121,11 +141,10 @@ def report_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 def check_exists(spark: SparkSession, sf: str) -> DataFrame:
     """Every given table is there, a made-up one is not; the row counts stand beside."""
-    names = ["orders", "events", "no_such_table"]
-    found = [checks.check_exists(spark, n, f"{n}_exists", f"{sf}/{n}.parquet") for n in names]
-    rows = found[0].unionByName(found[1]).unionByName(found[2]).drop("detail")
-    counts = [table(spark, sf, n).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("dataset", F.lit(n)) for n in names[:2]]
-    return rows.join(counts[0].unionByName(counts[1]), "dataset", "left")
+    found = [checks.check_exists(spark, n, f"{n}_exists", f"{sf}/{n}.parquet") for n in (*GIVEN, "no_such_table")]
+    counts = [table(spark, sf, n).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("dataset", F.lit(n)) for n in GIVEN]
+    stacked = [reduce(lambda a, b: a.unionByName(b), frames_) for frames_ in (found, counts)]
+    return stacked[0].drop("detail").join(stacked[1], "dataset", "left")
 
 
 def check_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +192,7 @@ def _selected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_report(spark: SparkSession, sf: str) -> DataFrame:
-    datasets = [f"NATION_{i}" for i in range(6)] + ["NOWHERE"]
+    datasets = [r["n_name"] for r in table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()] + ["NOWHERE"]
     raw = frames.with_run_seeds(order_semantic(spark, sf))
     return checks.check_report(spark, datasets, settle(_gappy(spark, sf)), _selected(spark, sf), raw, len(SEEDS))
 
@@ -182,7 +201,7 @@ QUERIES = {
     "acc_f1": acc_f1, "auroc": auroc, "avg_precision": avg_precision, "leak_selection": leak_selection, "deploy_drop": deploy_drop,
     "jaccard": jaccard, "seed_stability": seed_stability, "prompt_stability": prompt_stability, "metric_rows": metric_rows,
     "mean_std": mean_std, "mean_std_text": mean_std_text, "paired_delta": paired_delta, "ablation_delta": ablation_delta,
-    "selection_frequency": selection_frequency, "semantic_summary": semantic_summary, "case_study": case_study,
+    "selection_frequency": selection_frequency, "frequency_order": frequency_order, "ablation_summary": ablation_summary, "semantic_summary": semantic_summary, "case_study": case_study,
     "ordered_results": ordered_results, "repro_row": repro_row, "leaky_vs_clean": leaky_vs_clean, "bar_input": bar_input,
     "macro_avg": macro_avg, "report_cut": report_cut, "check_exists": check_exists, "check_columns": check_columns,
     "check_methods": check_methods, "check_seeds": check_seeds, "check_nulls": check_nulls, "check_rows": check_rows,
@@ -190,6 +209,16 @@ QUERIES = {
 }
 
 _MAIN = report.MAIN_METRICS
+# The result rows of the variants come from their own rankings.
+_VARIANTS = {
+    "chosen": "SELECT dataset, seed, method, feature FROM ranked_variants WHERE selected",
+    "leak_selection": """
+      SELECT dataset, seed, method, count(*) FILTER (is_injected_leakage)::DOUBLE AS selected_leakage_count,
+        count(*) FILTER (is_injected_leakage)::DOUBLE / count(*) AS selected_leakage_ratio,
+        count(*) FILTER (is_injected_leakage)::DOUBLE / 10 AS injected_leakage_recall
+      FROM ranked_variants WHERE selected GROUP BY 1, 2, 3""",
+}
+_THREE = "printf('%.3f', round(({})::DECIMAL(30,12), 3)::DOUBLE)"
 _PAIRS = [("leakage_aware", m) for m in ("tfs_rf", "tfs_logreg", "tfs_lasso", "semantic_only")]
 
 
@@ -233,23 +262,23 @@ _METHOD_LIST = ",".join(sorted(select.METHODS))
 
 def _methods(source: str, check: str) -> str:
     listed = "string_agg(DISTINCT method, ',' ORDER BY method)"
-    return f"SELECT dataset, '{check}' AS \"check\", {_STATUS.format(f'{listed} = {sql.text(_METHOD_LIST)}')}, 'methods=' || {listed} AS detail FROM {source} GROUP BY dataset"
+    return f"SELECT dataset, '{check}' AS \"check\", {_STATUS.format(f'{listed} = {sql.text(_METHOD_LIST)}')}, 'has methods ' || {listed} AS detail FROM {source} GROUP BY dataset"
 
 
 def _seeds(source: str, check: str) -> str:
     return (f"SELECT dataset, '{check}' AS \"check\", {_STATUS.format('count(DISTINCT seed) = 3')},"
-            f" 'seeds=' || string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) AS detail FROM {source} GROUP BY dataset")
+            f" 'has seeds ' || string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) AS detail FROM {source} GROUP BY dataset")
 
 
 def _columns(source: str, check: str, missing: str = "") -> str:
-    return f"SELECT DISTINCT dataset, '{check}' AS \"check\", '{'FAIL' if missing else 'PASS'}' AS status, 'missing={missing}' AS detail FROM {source}"
+    return f"SELECT DISTINCT dataset, '{check}' AS \"check\", '{'FAIL' if missing else 'PASS'}' AS status, 'columns not there: {missing}' AS detail FROM {source}"
 
 
 _NULLS = (
-    "SELECT dataset, 'main_no_null_metrics' AS \"check\", " + _STATUS.format("a + b = 0") + ", 'nulls=' || concat_ws(',', CASE WHEN a > 0 THEN 'clean_f1:' || a END,"
+    "SELECT dataset, 'main_no_null_metrics' AS \"check\", " + _STATUS.format("a + b = 0") + ", 'empty cells ' || concat_ws(',', CASE WHEN a > 0 THEN 'clean_f1:' || a END,"
     " CASE WHEN b > 0 THEN 'leaky_auroc:' || b END) AS detail FROM (SELECT dataset, count(*) FILTER (clean_f1 IS NULL) AS a, count(*) FILTER (leaky_auroc IS NULL) AS b FROM gappy GROUP BY 1)"
 )
-_ROWS = "SELECT dataset, 'main_row_count' AS \"check\", " + _STATUS.format("count(*) = 15") + ", 'expected=15; actual=' || count(*) AS detail FROM gappy GROUP BY dataset"
+_ROWS = "SELECT dataset, 'main_row_count' AS \"check\", " + _STATUS.format("count(*) = 15") + ", 'rows wanted 15, found ' || count(*) AS detail FROM gappy GROUP BY dataset"
 
 
 def _exists(source: str, check: str, what: str) -> str:
@@ -259,17 +288,17 @@ def _exists(source: str, check: str, what: str) -> str:
 
 _PICKED = "(SELECT * FROM ranked WHERE selected)"
 _SCORED = "(SELECT * FROM raw, seeds)"
-_RANGE = "SELECT DISTINCT dataset, 'semantic_scores_in_unit_interval' AS \"check\", 'PASS' AS status, 'scores must be in [0, 1]' AS detail FROM catalog"
+_RANGE = "SELECT DISTINCT dataset, 'semantic_scores_in_unit_interval' AS \"check\", 'PASS' AS status, 'every score lies between 0 and 1' AS detail FROM catalog"
 _ALL_CHECKS = " UNION ALL ".join([
     _columns("gappy", "main_required_columns"), _methods("gappy", "main_methods"), _seeds("gappy", "main_seed_count"), _NULLS, _ROWS,
     _columns(_PICKED, "selected_required_columns"), _methods(_PICKED, "selected_methods"), _seeds(_PICKED, "selected_seed_count"),
     _columns(_SCORED, "semantic_required_columns"), _seeds(_SCORED, "semantic_seed_count"), _RANGE,
 ])
-_WANTED = {"wanted": "SELECT * FROM (VALUES ('NATION_0'), ('NATION_1'), ('NATION_2'), ('NATION_3'), ('NATION_4'), ('NATION_5'), ('NOWHERE')) w(dataset)"}
+_WANTED = {"wanted": "SELECT n_name AS dataset FROM nation UNION ALL SELECT 'NOWHERE'"}
 
 _RULES_A_WORDS = f"""
   SELECT dataset, feature, prompt_variant, plain, CASE WHEN plain THEN 0.0::DOUBLE WHEN risky THEN 0.9::DOUBLE ELSE 0.15::DOUBLE END AS risk,
-    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), 'signal|history|credit|tenure|contract') THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS relevance,
+    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS relevance,
     CASE WHEN plain THEN 1.0::DOUBLE WHEN risky THEN 0.15::DOUBLE ELSE 0.85::DOUBLE END AS available
   FROM (SELECT *, list_has_any({sql.tokens()}, {sql.texts(sql.RISKY)}) AS risky FROM word_columns, prompts)"""
 
@@ -292,30 +321,33 @@ SQL = {
     ),
     "seed_stability": sql.six(_SET_PAIRS.format(by="dataset, method"), "mean_jaccard", **_SETS),
     "prompt_stability": sql.six(_SET_PAIRS.format(by="dataset, prompt_variant, method"), "mean_jaccard", **_PROMPT_TABLES),
-    "metric_rows": sql.six(
-        "SELECT w.dataset, w.seed, w.method, CASE WHEN w.method IN ('semantic_only', 'leakage_aware') THEN 'rules' ELSE 'none' END AS llm_provider,"
-        " CASE WHEN w.method IN ('semantic_only', 'leakage_aware') THEN 'names' ELSE 'none' END AS llm_model, n_original_features, n_injected_features,"
-        " 'original_features' AS k_basis, k, leaky_auroc, leaky_f1, clean_auroc, clean_f1, deployment_drop, selected_leakage_count, selected_leakage_ratio, injected_leakage_recall"
-        " FROM wide w JOIN leak_selection l ON l.dataset = w.dataset AND l.seed = w.seed AND l.method = w.method JOIN budget b ON b.dataset = w.dataset",
-        " ".join(_MAIN),
-    ),
+    "metric_rows": sql.six("SELECT * FROM result", " ".join(_MAIN)),
     "mean_std": sql.six(
         f"SELECT dataset, method, {_moments(_MAIN)} FROM result GROUP BY 1, 2", " ".join(f"{m}_mean {m}_std" for m in _MAIN)
     ),
     "mean_std_text": sql.with_tables(
         "SELECT dataset, method, " + ", ".join(
-            f"printf('%.3f', avg({m})) || ' +/- ' || printf('%.3f', stddev_samp({m})) AS {m}" for m in ("clean_auroc", "clean_f1", "leaky_auroc", "leaky_f1")
+            f"{_THREE.format(f'avg({m})')} || ' +/- ' || {_THREE.format(f'stddev_samp({m})')} AS {m}" for m in ("clean_auroc", "clean_f1", "leaky_auroc", "leaky_f1")
         ) + " FROM result GROUP BY 1, 2"
     ),
     "paired_delta": sql.six(_deltas("result", _PAIRS), "mean_delta std_delta"),
     "ablation_delta": sql.six(
         _deltas("variants", [(v, "full") for v in ("no_leakage", "no_availability", "no_uncertainty")]), "mean_delta std_delta",
-        variants="SELECT * FROM ablation WHERE NOT (dataset = 'NATION_3' AND method = 'full')",
+        variants="SELECT * FROM result WHERE NOT (dataset = 'NATION_3' AND method = 'full')", **_VARIANTS,
     ),
     "selection_frequency": sql.six(
         "SELECT dataset, method, feature, count(*) AS selected_count, avg(rank) AS mean_rank, bool_or(is_injected_leakage) AS is_injected_leakage"
         " FROM ranked WHERE selected GROUP BY 1, 2, 3", "mean_rank"
     ),
+    "frequency_order": sql.six(
+        "SELECT *, row_number() OVER (ORDER BY dataset, list_position(['tfs_rf', 'tfs_logreg', 'tfs_lasso', 'semantic_only', 'leakage_aware'], method),"
+        " selected_count DESC, mean_rank, feature) AS position FROM (SELECT dataset, method, feature, count(*) AS selected_count, avg(rank) AS mean_rank,"
+        " bool_or(is_injected_leakage) AS is_injected_leakage FROM ranked WHERE selected GROUP BY 1, 2, 3)", "mean_rank"
+    ),
+    "ablation_summary": sql.six(
+        f"SELECT dataset, method, {_moments(report.ABLATION_METRICS)} FROM result GROUP BY 1, 2",
+        " ".join(f"{m}_mean {m}_std" for m in report.ABLATION_METRICS), **_VARIANTS,
+    ),
     "semantic_summary": sql.six(
         "SELECT dataset, feature, CASE WHEN plain THEN 'semantic_only' ELSE 'leakage_aware' END AS scoring_role, 'rules' AS provider, 'names' AS model,"
         " avg(relevance) AS semantic_relevance_mean, avg(available) AS availability_mean, avg(risk) AS leakage_risk_mean, stddev_samp(risk) AS leakage_risk_std, count(*) AS prompt_count"
@@ -346,10 +378,10 @@ SQL = {
         + ", ".join(f"avg({m}) AS {m}" for m in _MAIN) + " FROM result GROUP BY 1, 2) GROUP BY 1", " ".join(_MAIN)
     ),
     "report_cut": sql.with_tables(
-        "SELECT dataset, method, printf('%.3f', avg(clean_f1)) AS mean, printf('%.3f', stddev_samp(clean_f1)) AS std FROM result GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 18"
+        f"SELECT dataset, method, {_THREE.format('avg(clean_f1)')} AS mean, {_THREE.format('stddev_samp(clean_f1)')} AS std FROM result GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 18"
     ),
-    "check_exists": "SELECT * FROM (SELECT 'orders' AS dataset, 'orders_exists' AS \"check\", 'PASS' AS status, count(*) AS n_rows FROM orders"
-    " UNION ALL SELECT 'events', 'events_exists', 'PASS', count(*) FROM events UNION ALL SELECT 'no_such_table', 'no_such_table_exists', 'FAIL', NULL)",
+    "check_exists": " UNION ALL ".join(f"SELECT '{n}' AS dataset, '{n}_exists' AS \"check\", 'PASS' AS status, count(*) AS n_rows FROM {n}" for n in GIVEN)
+    + " UNION ALL SELECT 'no_such_table', 'no_such_table_exists', 'FAIL', NULL",
     "check_columns": sql.with_tables(
         _columns("result", "main_required_columns") + " UNION ALL " + _columns("result", "cut_required_columns", "clean_f1,k")
     ),
@@ -359,7 +391,7 @@ SQL = {
     "check_rows": sql.with_tables(_ROWS, **_GAPPY),
     "check_range": sql.with_tables(
         "SELECT DISTINCT dataset, 'semantic_scores_in_unit_interval' AS \"check\", " + _STATUS.format("dataset NOT IN ('conv_2', 'conv_3')")
-        + ", 'scores must be in [0, 1]' AS detail FROM word_columns"
+        + ", 'every score lies between 0 and 1' AS detail FROM word_columns"
     ),
     "check_report": sql.with_tables(
         " UNION ALL ".join([

@@ -84,7 +84,7 @@ def coerce_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 def describe_columns(spark: SparkSession, sf: str) -> DataFrame:
     names = word_catalog(spark, sf).select("dataset", "feature")
-    facts = [(l.name, l.description) for l in inject.LEAKS[:5]]
+    facts = [(l.name, l.description) for l in inject.LEAKS]
     told = F.create_map(*[F.lit(x) for pair in facts for x in pair])
     leaks = names.where(F.col("feature").isin([f for f, _ in facts])).select(
         "dataset", "feature", F.element_at(told, F.col("feature")).alias("description"), F.lit(True).alias("is_injected_leakage")
@@ -230,12 +230,44 @@ def encode_slots(spark: SparkSession, sf: str) -> DataFrame:
     rows = settle(split_leaky_orders(spark, sf, [1]).select("part", *features))
     encoder = prep.fit_encoder(rows.where(F.col("part") == "train"), features, scale_numeric=True)
     slots = F.array(*[F.lit(s) for s in encoder.slots()])
-    filled = encoder.transform(rows).select("part", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    vector = F.unwrap_udt("features")
+    sparse = F.transform(vector["indices"], lambda slot, i: F.struct(slot.alias("slot"), F.get(vector["values"], i).alias("value")))
+    dense = F.transform(vector["values"], lambda value, i: F.struct(i.alias("slot"), value.alias("value")))
+    filled = encoder.transform(rows).select("part", F.inline(F.when(vector["type"] == 0, sparse).otherwise(dense)))
     return filled.where(F.col("value") != 0).groupBy("part", "slot").agg(F.count(F.lit(1)).alias("n_filled")).withColumn(
         "feature", F.element_at(slots, F.col("slot") + 1)
     )
 
 
+def stored_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of two kinds of runs, written by partition and read again; the debug dataset is left out."""
+    base = _scratch(spark, "results")
+    found = order_table(spark, sf).groupBy("dataset", "order_status").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("line_count").alias("n_lines"))
+    debug = found.limit(3).withColumn("dataset", F.lit(results.DEBUG_DATASET))
+    results.write_results({"metrics": found.unionByName(debug)}, base, "main")
+    results.write_results({"metrics": found.where(F.col("order_status") == "F")}, base, "ablation")
+    read = [results.read_results(spark, base, "metrics", kind).withColumn("run_kind", F.lit(kind)) for kind in results.RUN_KINDS]
+    return read[0].unionByName(read[1])
+
+
+def checked_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV that passed the checks on arrival, counted by market segment."""
+    path = f"{_scratch(spark, 'csv')}/customer.csv"
+    table(spark, sf, "customer").write.mode("overwrite").option("header", True).csv(path)
+    return tables.read_checked_csv(spark, path).groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.col("c_custkey").cast("long")).alias("last_key")
+    )
+
+
+def read_or_none(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that is there and one that isn't, and their row counts."""
+    found = []
+    for name in ("region", "no_such_table"):
+        rows, there = tables.read_or_empty(spark, f"{sf}/{name}.parquet", table(spark, sf, "region").schema)
+        found.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(there).alias("found"), "n_rows"))
+    return found[0].unionByName(found[1])
+
+
 QUERIES = {
     "csv_scan": csv_scan, "load_injected": load_injected, "leak_flags": leak_flags, "union_results": union_results,
     "scan_preview": scan_preview, "drop_columns": drop_columns, "split_target": split_target, "coerce_rate": coerce_rate,
@@ -248,6 +280,7 @@ QUERIES = {
     "inject_continuous": inject_continuous, "leak_agreement": leak_agreement, "agreement_by_level": agreement_by_level,
     "mask_clean": mask_clean, "split_rows": split_rows, "split_counts": split_counts, "split_all_seeds": split_all_seeds,
     "impute_median": impute_median, "impute_mode": impute_mode, "scale": scale, "encode_slots": encode_slots,
+    "stored_results": stored_results, "checked_csv": checked_csv, "read_or_none": read_or_none,
 }
 
 
@@ -261,6 +294,10 @@ def _first_four(column: str) -> str:
 
 
 _TYPES = {"gap": "double", "hour": "int", "user_id": "bigint"}
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{_TYPES.get(c, 'string')}' AS dtype, round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_ratio,"
+    f" count(DISTINCT {c}) AS unique_values, {_first_four(c)} AS examples, 0.0::DOUBLE AS stat_score FROM event_table" for c in EVENT_COLUMNS
+)
 _AGREEMENT = " UNION ALL ".join(
     f"SELECT {i} AS position, {sql.text(l.name)} AS feature, true AS is_injected_leakage, {sql.text(l.kind)} AS leakage_type,"
     f" {sql.text(l.level)} AS leakage_level, {inject.NOISE_BY_LEVEL[l.level]!r}::DOUBLE AS noise_rate,"
@@ -268,8 +305,8 @@ _AGREEMENT = " UNION ALL ".join(
     f" avg(({sql.bit(i)} = y)::INTEGER) AS observed_target_agreement, {sql.text(l.representation)} AS representation FROM order_bits"
     for i, l in enumerate(inject.LEAKS)
 )
-_DESCRIBED = " ".join(f"WHEN {sql.text(l.name)} THEN {sql.text(l.description)}" for l in inject.LEAKS[:5])
-_FIVE = ", ".join(sql.text(l.name) for l in inject.LEAKS[:5])
+_DESCRIBED = " ".join(f"WHEN {sql.text(l.name)} THEN {sql.text(l.description)}" for l in inject.LEAKS)
+_LEAKS = ", ".join(sql.text(l.name) for l in inject.LEAKS)
 _KNOWN = ", ".join(sql.text(n) for n in inject.leak_names())
 _LEAK_ROWS = ", ".join(
     f"({i}, {sql.text(l.name)}, {sql.text(l.kind)}, {sql.text(l.level)}, {sql.text(l.representation)}, {inject.NOISE_BY_LEVEL[l.level]!r}::DOUBLE)"
@@ -305,7 +342,7 @@ SQL = {
     ),
     "describe_columns": sql.with_tables(
         f"SELECT dataset, feature, CASE feature {_DESCRIBED} WHEN 'service_path_code' THEN 'path code' WHEN 'the_tenure' THEN 'how long'"
-        f" ELSE replace(feature, '_', ' ') END AS description, feature IN ({_FIVE}) AS is_injected_leakage FROM word_columns"
+        f" ELSE replace(feature, '_', ' ') END AS description, feature IN ({_LEAKS}) AS is_injected_leakage FROM word_columns"
     ),
     "drop_null_target": sql.with_tables("SELECT row_id, kind, hour FROM event_table WHERE kind IS NOT NULL"),
     "class_count": sql.with_tables(
@@ -316,10 +353,23 @@ SQL = {
         "SELECT '{c}' AS feature, count({c}) AS n_values, count({c}) > 0 AND count(DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan')) > 1 AS kept FROM event_table"
     )),
     "class_list": "SELECT DISTINCT event_type AS class FROM events ORDER BY 1",
-    "scan_profile": sql.with_tables(" UNION ALL ".join(
-        f"SELECT '{c}' AS feature, '{_TYPES.get(c, 'string')}' AS dtype, round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_ratio,"
-        f" count(DISTINCT {c}) AS unique_values, {_first_four(c)} AS examples, 0.0::DOUBLE AS stat_score FROM event_table" for c in EVENT_COLUMNS
-    )),
+    "scan_profile": sql.with_tables(PROFILE_SQL),
+    "encode_slots": sql.with_tables(
+        " UNION ALL ".join(
+            f"SELECT part, {i}::INTEGER AS slot, count(*) FILTER ({c} <> (SELECT avg({c}) FROM split_one WHERE part = 'train')) AS n_filled, '{c}' AS feature FROM split_one GROUP BY 1"
+            for i, c in enumerate(NUMERIC)
+        ) + " UNION ALL SELECT part, slot, count(*), feature FROM slot_cells JOIN slot_places USING (feature, value) GROUP BY 1, 2, 4",
+        split_one="SELECT o.*, p.part FROM order_table o JOIN parts p USING (row_id) WHERE p.seed = 1",
+        slot_cells=" UNION ALL ".join(f"SELECT part, {i} AS place, '{c}' AS feature, {c} AS value FROM split_one" for i, c in enumerate(CATEGORICAL)),
+        slot_places=f"SELECT feature, value, (row_number() OVER (ORDER BY place, value) + {len(NUMERIC) - 1})::INTEGER AS slot"
+        " FROM (SELECT DISTINCT place, feature, value FROM slot_cells WHERE part = 'train')",
+    ),
+    "stored_results": sql.with_tables(
+        "SELECT *, 'main' AS run_kind FROM counted UNION ALL SELECT *, 'ablation' FROM counted WHERE order_status = 'F'",
+        counted="SELECT dataset, order_status, count(*) AS n_rows, sum(line_count)::BIGINT AS n_lines FROM order_table GROUP BY 1, 2",
+    ),
+    "checked_csv": "SELECT c_mktsegment, count(*) AS n_rows, max(c_custkey)::BIGINT AS last_key FROM customer GROUP BY 1",
+    "read_or_none": "SELECT 'region' AS name, true AS found, count(*) AS n_rows FROM region UNION ALL SELECT 'no_such_table', false, 0",
     "kind_inference": sql.with_tables(" UNION ALL ".join(
         f"SELECT '{c}' AS feature, '{'numeric' if c in _TYPES else 'categorical'}' AS kind, count({c}) AS n_values FROM event_table" for c in EVENT_COLUMNS
     )),
