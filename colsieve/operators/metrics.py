@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colsieve.operators.select import AWARE_METHOD, RELEVANCE_METHOD
 from colsieve.plans.buckets import ONE_TASK_ROWS, needs_buckets, order_buckets
-from colsieve.plans.settle import attach, settle
+from colsieve.plans.settle import attach, match, settle
 
 CELL = ("dataset", "seed", "method", "setting")
 RUN = ("dataset", "seed", "method")
@@ -110,7 +110,7 @@ def classification_metrics(predictions: DataFrame, by: Sequence[str] = CELL, lim
     """All four metrics from one pass over the predictions."""
     counts = score_counts(predictions, by)
     outcomes = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_rows", "_correct", "_tp", "_any")])
-    return attach(_accuracy_f1(outcomes, by), _ranking_metrics(counts, by, limit), by, "left")
+    return match(_accuracy_f1(outcomes, by), _ranking_metrics(counts, by, limit), by, "left")
 
 
 def leak_selection(selected: DataFrame, n_injected: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
@@ -119,7 +119,7 @@ def leak_selection(selected: DataFrame, n_injected: DataFrame, by: Sequence[str]
         F.count_if("is_injected_leakage").cast("double").alias("selected_leakage_count"),
         F.count(F.lit(1)).cast("double").alias("_chosen"),
     )
-    known = attach(counted, n_injected.select("dataset", "n_injected_features"), ["dataset"], "left")
+    known = match(counted, n_injected.select("dataset", "n_injected_features"), ["dataset"], "left")
     injected = F.coalesce(F.col("n_injected_features").cast("double"), F.lit(0.0))
     hits = F.col("selected_leakage_count")
     return known.select(
@@ -150,8 +150,8 @@ def metric_rows(
     for method, (p, m) in scorers.items():
         provider = F.when(F.col("method") == method, p.lower()).otherwise(provider)
         model = F.when(F.col("method") == method, m).otherwise(model)
-    rows = settings.join(leaks, list(RUN), "inner")
-    rows = attach(rows, budget.select("dataset", "n_original_features", "n_injected_features", "k"), ["dataset"], "inner")
+    rows = match(settings, leaks, list(RUN), "inner")
+    rows = match(rows, budget.select("dataset", "n_original_features", "n_injected_features", "k"), ["dataset"], "inner")
     return rows.select(
         "dataset", "seed", "method", provider.alias("llm_provider"), model.alias("llm_model"),
         "n_original_features", "n_injected_features", F.lit("original_features").alias("k_basis"), "k",

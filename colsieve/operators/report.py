@@ -44,7 +44,7 @@ def mean_std(results: DataFrame, metrics: Sequence[str] = MAIN_METRICS, by: Sequ
 def three_places(value: Column) -> Column:
     """Three decimals as text, ties away from zero. Twelve places are kept before, so that noise of float sums decides no tie."""
     tidy = F.round(value.try_cast("decimal(30,12)"), 3)
-    return F.coalesce(F.format_string("%.3f", tidy.cast("double")), F.format_string("%.3f", value))
+    return F.when(value.isNotNull(), F.format_string("%.3f", F.coalesce(tidy.cast("double"), value)))
 
 
 def _text(mean: Column, deviation: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colsieve.functions.scores import unit_clip
 from colsieve.plans.ranking import number_rows
-from colsieve.plans.settle import attach
+from colsieve.plans.settle import match
 
 K_RATIO = 0.4
 LEAST_RATIO = 0.05
@@ -130,11 +130,11 @@ def rank_methods(
     if decimals is not None:
         scores = scores.withColumn("score", F.round("score", decimals))
     ranked = number_rows(scores, by, [F.col("score").desc(), F.col("feature").asc()])
-    marked = attach(ranked, budget.select("dataset", "k"), ["dataset"], "inner")
+    marked = match(ranked, budget.select("dataset", "k"), ["dataset"], "inner")
     marked = marked.withColumn("selected", F.col("rank") <= F.col("k")).drop("k")
     if leaks is not None:
         flags = leaks.select("dataset", "feature").distinct().withColumn("is_injected_leakage", F.lit(True))
-        marked = attach(marked, flags, ["dataset", "feature"], "left")
+        marked = match(marked, flags, ["dataset", "feature"], "left")
         marked = marked.withColumn("is_injected_leakage", F.coalesce(F.col("is_injected_leakage"), F.lit(False)))
     return marked
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +20,7 @@ from colsieve.sources.snapshots import LabelledTable
 
 # Number of the greater of two labels, and so the place of its probability.
 GREATER = 1
+FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,12 @@ def role_scores(raw: DataFrame, role: str, seeds: Sequence[int]) -> DataFrame:
     return with_seeds(semantic.aggregate_prompts(raw.where(F.col("scoring_role") == role), ["dataset"]), seeds)
 
 
+def at_once(tasks: Sequence[Callable]) -> list:
+    """Results of Spark work that waits on the driver, a few tasks at the same time so that the cluster is never idle between jobs."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda task: inheritable_thread_target(task)(), tasks))
+
+
 def _with_target(table: LabelledTable) -> LabelledTable:
     """Rows without a target are left out before anything is split or fitted."""
     return replace(table, rows=profile.drop_null_target(table.rows, table.spec.target))
@@ -102,12 +111,16 @@ def _seeds(table: LabelledTable, settings: RunSettings) -> dict[int, SeedRows]:
 
 def stat_table(table: LabelledTable, seeds: Mapping[int, SeedRows], settings: RunSettings, forest_only: bool = False) -> DataFrame:
     """Scores of all scorers and seeds. Both logistic fits read the same prepared rows."""
-    spec, found = table.spec, []
-    for seed, rows in seeds.items():
-        found.append(stats.forest_importances(rows.plain, spec.name, seed, settings.trees, settings.max_depth))
+    spec = table.spec
+
+    def one(seed: int, rows: SeedRows) -> list[DataFrame]:
+        found = [stats.forest_importances(rows.plain, spec.name, seed, settings.trees, settings.max_depth)]
         if not forest_only:
             scaled = stats.prepare(rows.train, table.features, spec.target, encoder=rows.encoder)
             found += [stats.logistic_importances(scaled, p, spec.name, seed) for p in ("l2", "l1")]
+        return found
+
+    found = [df for part in at_once([partial(one, *item) for item in seeds.items()]) for df in part]
     return settle(stats.normalise_scorers(reduce(lambda a, b: a.unionByName(b), found)))
 
 
@@ -142,20 +155,22 @@ def predictions(
     lists: dict[tuple[int, tuple[str, ...]], list[str]] = {}
     for r in select.selected_lists(rankings).collect():
         lists.setdefault((r["seed"], tuple(sorted(r["selected_features"]))), []).append(r["method"])
-    scored = []
-    for seed, rows in seeds.items():
+
+    def encoded(rows: SeedRows) -> DataFrame:
         masks = inject.mask_values(rows.train, table.leaks)
         shown = {"leaky": rows.test, "clean": inject.apply_mask(rows.test, masks)}
-        test = encode_test(shown, label, spec.row_id, rows.plain.encoder)
-        for (of_seed, features), methods in sorted(lists.items()):
-            if of_seed != seed:
-                continue
-            one = fit_and_predict(rows.plain, test, features, seed, settings.trees, settings.max_depth)
-            scored.append(one.select(
-                F.lit(spec.name).alias("dataset"), F.lit(seed).alias("seed"),
-                F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "*",
-            ))
-    return reduce(lambda a, b: a.unionByName(b), scored)
+        return encode_test(shown, label, spec.row_id, rows.plain.encoder)
+
+    def scored(seed: int, features: tuple[str, ...], methods: list[str]) -> DataFrame:
+        one = fit_and_predict(seeds[seed].plain, tests[seed], features, seed, settings.trees, settings.max_depth)
+        return one.select(
+            F.lit(spec.name).alias("dataset"), F.lit(seed).alias("seed"),
+            F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "*",
+        )
+
+    tests = dict(zip(seeds, at_once([partial(encoded, rows) for rows in seeds.values()]), strict=True))
+    fits = [partial(scored, seed, features, methods) for (seed, features), methods in sorted(lists.items()) if seed in seeds]
+    return reduce(lambda a, b: a.unionByName(b), at_once(fits))
 
 
 def _finish(
@@ -185,8 +200,8 @@ def _scorer_of(raw: DataFrame, role: str) -> tuple[str, str]:
 def run_main(table: LabelledTable, raw: DataFrame, settings: RunSettings = RunSettings()) -> RunResult:
     """Five methods over all seeds. ``raw``: semantic rows with scoring_role, provider and model.
 
-    Fits are separate Spark jobs per seed; everything before and after them is
-    one job for all seeds and methods.
+    Fits are separate Spark jobs, several at the same time; everything before and after them is one job for all
+    seeds and methods.
     """
     table = _with_target(table)
     label, seeds = _greatest_label(table), _seeds(table, settings)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A lookup of at most this many rows and bytes is broadcast.
 BROADCAST_ROWS = 100_000
@@ -42,6 +42,19 @@ def settle(df: DataFrame) -> DataFrame:
     return written
 
 
+def _keyed(lookup: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column, list[str]]:
+    """The lookup under other key names, the null-safe condition, and those names."""
+    names = [f"_of_{c}" for c in on]
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in on])
+    return lookup.withColumnsRenamed(dict(zip(on, names, strict=True))), same, names
+
+
+def match(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe join of tables as small as a catalogue: nothing is written or measured, Spark chooses from what it sees at run time."""
+    keyed, same, names = _keyed(lookup, list(on))
+    return rows.join(keyed, same, how).drop(*names)
+
+
 def _is_small(lookup: DataFrame, limit: int) -> bool:
     size = F.octet_length(F.to_json(F.struct(*lookup.columns)))
     measured = lookup.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
@@ -59,9 +72,7 @@ def attach(
     """
     on = list(on)
     lookup = settle(lookup)
-    keyed = lookup.withColumnsRenamed({c: f"_of_{c}" for c in on})
-    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in on])
-    extra = [f"_of_{c}" for c in on]
+    keyed, same, extra = _keyed(lookup, on)
     if _is_small(lookup, limit):
         return rows.join(F.broadcast(keyed), same, how).drop(*extra)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))

@@ -33,7 +33,7 @@ def auroc(spark: SparkSession, sf: str) -> DataFrame:
 
 def avg_precision(spark: SparkSession, sf: str) -> DataFrame:
     """Average precision with many equal scores: they are cut to two places."""
-    rough = predictions(spark, sf).withColumn("score", F.round("score", 2))
+    rough = predictions(spark, sf).withColumn("score", F.floor(F.col("score") * 100.0) / 100.0)
     return six(metrics.ranking_metrics(rough, ("seed", "method", "setting")).drop("auroc"))
 
 
@@ -274,9 +274,10 @@ def _columns(source: str, check: str, missing: str = "") -> str:
     return f"SELECT DISTINCT dataset, '{check}' AS \"check\", '{'FAIL' if missing else 'PASS'}' AS status, 'columns not there: {missing}' AS detail FROM {source}"
 
 
+_LOOKED = sorted(c for c in checks.MAIN_COLUMNS if c not in ("dataset", "method"))
 _NULLS = (
-    "SELECT dataset, 'main_no_null_metrics' AS \"check\", " + _STATUS.format("a + b = 0") + ", 'empty cells ' || concat_ws(',', CASE WHEN a > 0 THEN 'clean_f1:' || a END,"
-    " CASE WHEN b > 0 THEN 'leaky_auroc:' || b END) AS detail FROM (SELECT dataset, count(*) FILTER (clean_f1 IS NULL) AS a, count(*) FILTER (leaky_auroc IS NULL) AS b FROM gappy GROUP BY 1)"
+    "SELECT dataset, 'main_no_null_metrics' AS \"check\", " + _STATUS.format("bad = ''") + ", 'empty cells ' || bad AS detail FROM (SELECT dataset, concat_ws(',', "
+    + ", ".join(f"CASE WHEN count(*) > count({c}) THEN '{c}:' || (count(*) - count({c})) END" for c in _LOOKED) + ") AS bad FROM gappy GROUP BY 1)"
 )
 _ROWS = "SELECT dataset, 'main_row_count' AS \"check\", " + _STATUS.format("count(*) = 15") + ", 'rows wanted 15, found ' || count(*) AS detail FROM gappy GROUP BY dataset"
 
@@ -306,10 +307,10 @@ SQL = {
     "acc_f1": sql.six("SELECT * FROM plain_metrics", "accuracy f1"),
     "auroc": sql.six("SELECT dataset, seed, method, setting, auroc FROM ranking_metrics", "auroc"),
     "avg_precision": sql.six(
-        "SELECT seed, method, setting, sum(pos * tp / (tp + fp)) / max(p) AS auprc FROM rough GROUP BY 1, 2, 3", "auprc",
+        "SELECT seed, method, setting, CASE WHEN max(p) > 0 AND sum(neg) > 0 THEN sum(pos * tp / (tp + fp)) / max(p) END AS auprc FROM rough GROUP BY 1, 2, 3", "auprc",
         rough="""
           SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER g AS p
-          FROM (SELECT seed, method, setting, round(score, 2) AS s, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM pred GROUP BY 1, 2, 3, 4)
+          FROM (SELECT seed, method, setting, floor(score * 100.0::DOUBLE) / 100.0::DOUBLE AS s, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM pred GROUP BY 1, 2, 3, 4)
           WINDOW w AS (PARTITION BY seed, method, setting ORDER BY s DESC), g AS (PARTITION BY seed, method, setting)""",
     ),
     "leak_selection": sql.six("SELECT * FROM leak_selection", "selected_leakage_count selected_leakage_ratio injected_leakage_recall"),
@@ -327,7 +328,7 @@ SQL = {
     ),
     "mean_std_text": sql.with_tables(
         "SELECT dataset, method, " + ", ".join(
-            f"{_THREE.format(f'avg({m})')} || ' +/- ' || {_THREE.format(f'stddev_samp({m})')} AS {m}" for m in ("clean_auroc", "clean_f1", "leaky_auroc", "leaky_f1")
+            f"coalesce({_THREE.format(f'avg({m})')}, 'nan') || ' +/- ' || coalesce({_THREE.format(f'stddev_samp({m})')}, 'nan') AS {m}" for m in ("clean_auroc", "clean_f1", "leaky_auroc", "leaky_f1")
         ) + " FROM result GROUP BY 1, 2"
     ),
     "paired_delta": sql.six(_deltas("result", _PAIRS), "mean_delta std_delta"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.operators import inject, prep, profile, split, target as targets
