@@ -15,7 +15,7 @@ COERCE_SHARE = 0.95
 MISSING_TEXT = "nan"
 EXAMPLES = 4
 EXAMPLE_CHARS = 60
-# The first rows looked at for examples; columns with too few values there get a scan of their own.
+# The first rows looked at for examples; columns with too few values there share further passes.
 EXAMPLE_ROWS = 64
 
 
@@ -167,19 +167,32 @@ def drop_constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _examples(df: DataFrame, columns: Sequence[str], row_id: str) -> dict[str, list[str]]:
     """First non-null values by row id, cut to 60 characters.
 
-    A sort with limit keeps a few rows per task. Columns with too few values in
-    the first rows get such a query of their own, so sparse columns are right too.
+    A sort with limit keeps a few rows per task. The columns with too few values in the first rows then share at most
+    EXAMPLES passes over the table: each takes every column's next value above the row it is at.
     """
-    cut = [F.substring(F.col(c).cast("string"), 1, EXAMPLE_CHARS).alias(c) for c in columns]
+    def text(c: str) -> Column:
+        return F.substring(F.col(c).cast("string"), 1, EXAMPLE_CHARS)
+
     first = df.select(row_id, *columns).orderBy(row_id).limit(EXAMPLE_ROWS).select(
-        F.col(row_id).alias("_row"), *cut
+        F.col(row_id).alias("_row"), *[text(c).alias(c) for c in columns]
     ).orderBy("_row").collect()
     found = {c: [r[c] for r in first if r[c] is not None][:EXAMPLES] for c in columns}
-    if len(first) == EXAMPLE_ROWS:
-        for c in columns:
-            if len(found[c]) < EXAMPLES:
-                rows = df.select(row_id, c).where(F.col(c).isNotNull()).orderBy(row_id).limit(EXAMPLES)
-                found[c] = [r[0] for r in rows.select(F.substring(F.col(c).cast("string"), 1, EXAMPLE_CHARS)).collect()]
+    sparse = [c for c in columns if len(found[c]) < EXAMPLES] if len(first) == EXAMPLE_ROWS else []
+    at: dict[str, object] = {}
+    for c in sparse:
+        found[c] = []
+    while sparse:
+        stats = []
+        for i, c in enumerate(sparse):
+            later = F.col(c).isNotNull() & (F.col(row_id) > F.lit(at[c]) if c in at else F.lit(True))
+            row = F.when(later, F.col(row_id))
+            stats += [F.min(row).alias(f"r{i}"), F.min_by(text(c), row).alias(f"v{i}")]
+        got = df.agg(*stats).first()
+        for i, c in enumerate(sparse):
+            if got[f"r{i}"] is not None:
+                at[c] = got[f"r{i}"]
+                found[c].append(got[f"v{i}"])
+        sparse = [c for i, c in enumerate(sparse) if got[f"r{i}"] is not None and len(found[c]) < EXAMPLES]
     return found
 
 

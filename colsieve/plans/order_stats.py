@@ -9,12 +9,14 @@ round until what is inside fits. All columns share each round's scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 IN_TASK_ROWS = 200_000
+# All columns of one aggregation meet in one task, so their values together are bounded, too.
+TOGETHER = 4 * IN_TASK_ROWS
 _HALF_WIDTH = 5e-4
 _SKETCH_ACCURACY = 10_000
 
@@ -44,17 +46,30 @@ def number(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def _batches(sizes: Mapping[str, int]) -> Iterator[list[str]]:
+    """Names in groups of at most TOGETHER values, or single."""
+    batch, total = [], 0
+    for name, size in sizes.items():
+        if batch and total + size > TOGETHER:
+            yield batch
+            batch, total = [], 0
+        batch.append(name)
+        total += size
+    if batch:
+        yield batch
+
+
 def ranked_values(df: DataFrame, targets: dict[str, tuple[Column, int, int]], limit: int = IN_TASK_ROWS) -> dict:
     """{name: (value, rank, non-null count)} -> {name: the exact rank-th smallest value}."""
     open_ = {name: _Bracket(value, rank, count) for name, (value, rank, count) in targets.items()}
     answers: dict[str, float] = {}
     while open_:
         last = {n: b for n, b in open_.items() if b.inside <= limit}
-        if last:
+        for names in _batches({n: b.inside for n, b in last.items()}):
             row = df.agg(*[
-                F.element_at(F.sort_array(F.collect_list(b.inner())), F.lit(b.rank)).alias(n) for n, b in last.items()
+                F.element_at(F.sort_array(F.collect_list(last[n].inner())), F.lit(last[n].rank)).alias(n) for n in names
             ]).first()
-            answers.update({n: float(row[n]) for n in last})
+            answers.update({n: float(row[n]) for n in names})
         open_ = {n: b for n, b in open_.items() if n not in last}
         if not open_:
             break
@@ -109,9 +124,9 @@ def exact_medians(
         counted = df.agg(*[F.count(number(c)).alias(c) for c in columns]).first()
     medians: dict[str, float | None] = {c: None for c in columns}
     small = [c for c in columns if 0 < counted[c] <= limit]
-    if small:
-        row = df.agg(*[F.median(number(c)).alias(c) for c in small]).first()
-        medians.update({c: float(row[c]) for c in small})
+    for names in _batches({c: counted[c] for c in small}):
+        row = df.agg(*[F.median(number(c)).alias(c) for c in names]).first()
+        medians.update({c: float(row[c]) for c in names})
     targets = {}
     for c in columns:
         n = counted[c]

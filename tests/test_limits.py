@@ -102,3 +102,27 @@ def test_row_ids_do_not_follow_the_layout(spark):
     df = spark.createDataFrame([(i % 10, "same") for i in range(40)], "a int, b string")
     ids = [sorted((r.a, r.row_id) for r in _with_row_id(d, "row_id").collect()) for d in (df, df.repartition(5))]
     assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 40
+
+
+def test_examples_of_sparse_columns_share_passes(spark):
+    """The number of jobs must not follow the number of sparse columns."""
+    df = spark.range(3000).select(F.col("id").alias("row_id"), *[F.when(F.col("id") % 700 == i % 600, F.concat(F.lit(f"v{i}-"), "id")).alias(f"c{i}") for i in range(60)])
+    names = [f"c{i}" for i in range(60)]
+    group = spark.sparkContext
+    group.setJobGroup("examples", "examples")
+    found = profile._examples(df, names, "row_id")
+    jobs = len(group.statusTracker().getJobIdsForGroup("examples"))
+    group.setLocalProperty("spark.jobGroup.id", None)
+    for i, c in enumerate(names):
+        assert found[c] == [f"v{i}-{x}" for x in range(i % 600, 3000, 700)][:4]
+    assert jobs <= 12
+
+
+def test_medians_in_batches(spark, monkeypatch):
+    from colsieve.plans import order_stats
+
+    df = spark.range(101).select(*[((F.col("id") * 7 + i) % 101).cast("double").alias(f"c{i}") for i in range(40)])
+    together = order_stats.exact_medians(df, df.columns)
+    monkeypatch.setattr(order_stats, "TOGETHER", 250)
+    assert order_stats.exact_medians(df, df.columns) == together == {c: 50.0 for c in df.columns}
+    assert order_stats.exact_medians(df, df.columns[:3], limit=10) == {c: 50.0 for c in df.columns[:3]}
