@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL __spark_entry__ adds."""
 
-from colsieve.llm import bpe, chat, digests, languages, merkle, mixing, near_copies, passages, periods, sharding, top_k, toxicity
+from colsieve.llm import bpe, chat, digests, languages, merkle, minhash, mixing, near_copies, passages, periods, sharding, top_k, toxicity
 
-MODULES = (sharding, chat, passages, languages, bpe, toxicity, top_k, mixing, digests, near_copies, merkle, periods)
+MODULES = (sharding, chat, passages, languages, bpe, toxicity, top_k, mixing, digests, near_copies, minhash, merkle, periods)
