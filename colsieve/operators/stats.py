@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.functions.scores import close, or_zero
@@ -18,6 +22,8 @@ from colsieve.plans.settle import attach, settle
 TREES = 300
 MAX_DEPTH = 30
 MAX_ITERATIONS = 5000
+# Relative change of the loss at which a logistic fit ends, and how near to 0 its conditions must then be.
+FIT_TOLERANCE, OPTIMAL_TOLERANCE = 1e-9, 1e-5
 # Tolerances below which all scores count as equal.
 CLOSE_RELATIVE, CLOSE_ABSOLUTE = 1e-5, 1e-8
 STRICT_RELATIVE = 1e-9
@@ -127,25 +133,99 @@ def forest_importances(
     return _tagged(fold_slots(slots), dataset, seed, "forest")
 
 
+@dataclass(frozen=True)
+class LogisticFit:
+    """One class against the rest: the coefficients of the encoder's slots, then the intercept."""
+
+    positive: int
+    coefficients: tuple[float, ...]
+
+
+def _against_rest(rows: DataFrame, positive: int, n_classes: int) -> DataFrame:
+    """Rows with label 1 for one class. With two classes both are weighted; against several the rest weighs 1."""
+    own = F.col("label") == positive
+    weight = F.col("weight") if n_classes == 2 else F.when(own, F.col("weight")).otherwise(1.0)
+    return rows.select(own.cast("double").alias("label"), weight.alias("weight"), "features")
+
+
+def _mirrored(rows: DataFrame, n_slots: int) -> DataFrame:
+    """The same problem with the intercept as a last slot.
+
+    A row and its mirror image, all values negated and the label turned, have the same logistic loss. Half of the rows,
+    by a hash of their content, are mirrored, so that the intercept's slot is no constant, which MLlib would ignore.
+    """
+    turned = F.pmod(F.xxhash64("label", "weight", vector_to_array("features")), F.lit(2)) == 1
+    marked = rows.withColumn("_turned", turned)
+    negate = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * n_slots), inputCol="features", outputCol="_negated")
+    mirror = negate.transform(marked.where("_turned")).select((1.0 - F.col("label")).alias("label"), "weight", F.col("_negated").alias("features"), F.lit(-1.0).alias("_one"))
+    kept = marked.where("NOT _turned").select("label", "weight", "features", F.lit(1.0).alias("_one"))
+    assembled = VectorAssembler(inputCols=["features", "_one"], outputCol="_all").transform(kept.unionByName(mirror))
+    return settle(assembled.select("label", "weight", F.col("_all").alias("features")))
+
+
+def logistic_fits(train: Prepared, penalty: str = "l2", max_iterations: int = MAX_ITERATIONS) -> list[LogisticFit]:
+    """The penalised logistic fits of a target: one for two classes, else one against the rest for every class.
+
+    Minimises the summed weighted losses plus half the squared, or the absolute, coefficients; the intercept is
+    penalised like a slot.
+    """
+    if penalty not in ("l1", "l2"):
+        raise ValueError("the penalty is 'l1' or 'l2'")
+    n_classes = int(train.rows.agg(F.max("label")).first()[0]) + 1
+    n_slots, fits = len(train.encoder.slots()), []
+    for positive in [1] if n_classes == 2 else range(n_classes):
+        rows = _mirrored(_against_rest(train.rows, positive, n_classes), n_slots)
+        total = rows.agg(F.sum("weight")).first()[0]
+        model = LogisticRegression(
+            elasticNetParam=1.0 if penalty == "l1" else 0.0, regParam=1.0 / total, standardization=False, fitIntercept=False,
+            weightCol="weight", maxIter=max_iterations, tol=FIT_TOLERANCE, family="binomial",
+        ).fit(rows)
+        fits.append(LogisticFit(positive, tuple(map(float, model.coefficientMatrix.toArray()[0]))))
+    return fits
+
+
+def optimality(train: Prepared, fits: Sequence[LogisticFit], penalty: str, tolerance: float = OPTIMAL_TOLERANCE) -> DataFrame:
+    """(positive, slot, feature, coefficient, gradient, optimal): do the coefficients solve the problem that was put?
+
+    gradient: the summed weighted losses' derivative by the slot's coefficient, one aggregation over the rows. At the
+    optimum it is the negative coefficient for l2. For l1 it is minus the sign of a coefficient that isn't 0, and at
+    most 1 in size for one that is. ``tolerance`` is a share of the largest value the gradient could take, the sum of
+    weighted absolute values, or of 1.
+    """
+    spark, slots = train.rows.sparkSession, [*train.encoder.slots(), "intercept"]
+    n_classes, found = (2 if len(fits) == 1 else len(fits)), []
+    for fit in fits:
+        beta = Vectors.dense(fit.coefficients)
+        rows = VectorAssembler(inputCols=["features", "_one"], outputCol="_all").transform(_against_rest(train.rows, fit.positive, n_classes).withColumn("_one", F.lit(1.0)))
+        scaled = ElementwiseProduct(scalingVec=beta, inputCol="_all", outputCol="_terms").transform(rows)
+        margin = F.aggregate(vector_to_array("_terms"), F.lit(0.0), lambda a, x: a + x)
+        residual = F.col("weight") * (1.0 / (1.0 + F.exp(-margin)) - F.col("label"))
+        placed = scaled.withColumn("_residual", residual)
+        sums = {r["_up"]: r["s"].toArray() for r in placed.groupBy((F.col("_residual") > 0).alias("_up")).agg(
+            Summarizer.metrics("sum").summary(F.col("_all"), F.abs("_residual"))["sum"].alias("s")
+        ).collect()}
+        size = placed.agg(Summarizer.metrics("normL1").summary(F.col("_all"), F.col("weight"))["normL1"].alias("s")).first()["s"].toArray()
+        gradient = sums.get(True, 0.0) - sums.get(False, 0.0)
+        for slot, (name, b, g, most) in enumerate(zip(slots, fit.coefficients, gradient, size, strict=True)):
+            near = tolerance * max(1.0, float(most))
+            if penalty == "l2":
+                optimal = abs(g + b) <= near
+            else:
+                optimal = abs(g) <= 1 + near if b == 0 else abs(g + math.copysign(1.0, b)) <= near
+            found.append((fit.positive, slot, name, b, float(g), bool(optimal)))
+    return spark.createDataFrame(found, "positive int, slot int, feature string, coefficient double, gradient double, optimal boolean")
+
+
 def logistic_importances(
     train: Prepared, penalty: str = "l2", dataset: str = "table", seed: int = 42, max_iterations: int = MAX_ITERATIONS
 ) -> DataFrame:
     """Mean absolute coefficient over the classes, not normalised. Needs rows prepared with ``scale_numeric``.
 
-    The penalty weighs 1 per summed row weight. The intercept is not penalised;
-    more than two classes are fitted together.
+    The penalty weighs 1 per summed row weight, for the intercept too; more than two classes are fitted one against the
+    rest.
     """
-    if penalty not in ("l1", "l2"):
-        raise ValueError("the penalty is 'l1' or 'l2'")
-    total = train.rows.agg(F.sum("weight")).first()[0]
-    model = LogisticRegression(
-        elasticNetParam=1.0 if penalty == "l1" else 0.0,
-        regParam=1.0 / total,
-        standardization=False,
-        weightCol="weight",
-        maxIter=max_iterations,
-    ).fit(train.rows)
-    means = abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    fits = logistic_fits(train, penalty, max_iterations)
+    means = [sum(map(abs, values)) / len(fits) for values in zip(*[f.coefficients[:-1] for f in fits], strict=True)]
     slots = slot_scores(train.rows.sparkSession, train.encoder, means)
     return _tagged(fold_slots(slots), dataset, seed, "lasso" if penalty == "l1" else "logreg")
 
