@@ -74,7 +74,7 @@ def test_listed_and_joined_categories_agree(spark):
     train = spark.createDataFrame([("b", "x"), ("a", None), ("c", "y"), ("b", "y")], "c string, d string")
     new = spark.createDataFrame([("zzz", "x"), (None, "y"), ("c", None)], "c string, d string")
     listed, joined = prep.fit_encoder(train, ["c", "d"]), prep.fit_encoder(train, ["c", "d"], listed=0)
-    assert listed.slots() == joined.slots() and joined.lookups
+    assert listed.slots() == joined.slots() and joined.dictionary is not None
     shown = [sorted(map(str, e.transform(new).select("features").collect())) for e in (listed, joined)]
     assert shown[0] == shown[1]
 
