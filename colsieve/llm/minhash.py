@@ -24,11 +24,13 @@ SHINGLE, PERCENT = 3, 85
 #: A pair at the threshold shares no band with probability (1 - 0.85**5)**24 < 1e-6.
 BANDS, ROWS = 24, 5
 #: Bands that are gone through together: what the first ones link is not compared again in later ones.
-ROUNDS = ((0, 4), (4, 12), (12, 24))
+ROUNDS = ((0, 6), (6, 24))
 #: Signature rows that are compared at a time, and the probability of ruling out a pair that is similar enough.
 BATCH, MISS = 12, 1e-6
 #: Members of a bucket that are compared in one task; a larger bucket is cut into cells of such parts, none is skipped.
 CELL = 512
+#: Links that a task reads when components are made.
+EDGES = 100_000
 #: Bytes of text that are hashed at once.
 _BLOCK = 1 << 21
 _N = BANDS * ROWS
@@ -186,27 +188,30 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Da
 # Per bucket: cells of members, compared across components.
 
 
-def cells(members: DataFrame, alone: bool) -> DataFrame:
-    """(bucket, part, other, key, comp, asks) from members (bucket, key, comp): who is compared with whom.
+def cells(members: DataFrame, alone: bool, parted: bool) -> DataFrame:
+    """(bucket, band, part, other, own, key, comp, asks) from members (bucket, band, key, comp): who is compared with whom.
 
     In a cell, the members that ask are held against all others of another component. Only buckets with two components
     are looked at. With ``alone`` the buckets over CELL members are cut into parts, each compared in itself. Without it
     every bucket is compared as a whole: the members outside its largest component ask, and where they or the bucket
-    are too many for a cell, each part of those that ask meets each part of the bucket.
+    are too many for a cell, each part of those that ask meets each part of the bucket. own: the part in which a member
+    was compared alone (``parted``: large buckets were), or -1.
     """
     by_comp = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     buckets = by_comp.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main")).where("size > main.n")
     buckets = buckets.select("bucket", F.ceil(F.col("size") / CELL).alias("parts"), F.ceil((F.col("size") - F.col("main.n")) / CELL).alias("askers"), F.col("main.comp").alias("main"))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    kept = ("bucket", "band", "key", "comp")
     if alone:
         placed = members.join(buckets.where("parts > 1"), "bucket")
-        return placed.select("bucket", part.alias("part"), F.lit(0).alias("other"), "key", "comp", F.lit(True).alias("asks"))
+        return placed.select(*kept, part.alias("part"), F.lit(0).alias("other"), F.lit(-1).alias("own"), F.lit(True).alias("asks"))
+    own = (F.when(F.col("parts") > 1, part).otherwise(-1) if parted else F.lit(-1)).alias("own")
     placed = members.join(buckets, "bucket")
     asks = ~F.col("comp").eqNullSafe(F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     single = (F.col("parts") == 1) & (F.col("askers") == 1)
-    whole = placed.select("bucket", part.alias("part"), every("askers").alias("other"), "key", "comp", (asks & single).alias("asks"))
-    asking = placed.where(asks & ~single).select("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.col("askers")).cast("int").alias("other"), every("parts").alias("part"), "key", "comp", F.lit(True).alias("asks"))
+    whole = placed.select(*kept, part.alias("part"), every("askers").alias("other"), own, (asks & single).alias("asks"))
+    asking = placed.where(asks & ~single).select(*kept, F.pmod(F.xxhash64("key", F.lit(1)), F.col("askers")).cast("int").alias("other"), every("parts").alias("part"), own, F.lit(True).alias("asks"))
     return whole.unionByName(asking)
 
 
@@ -227,26 +232,32 @@ def _columns(members: pa.StructScalar, names: tuple[str, ...]) -> list[list]:
 
 
 def screened(rows: DataFrame, least: list[int]) -> DataFrame:
-    """The members of cells for whom some signature of another component is possible, and those it belongs to."""
+    """The members of cells for whom some signature of another component is possible, and those it belongs to.
+
+    A pair that agrees in an earlier band, or that was compared in a part of its bucket, is not looked at again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("other", pa.int32()), ("key", pa.binary()), ("comp", pa.binary()), ("asks", pa.bool_()), ("sig", pa.binary())])
         for batch in batches:
             out = []
             for bucket, part, other, members in zip(*(batch.column(c) for c in ("bucket", "part", "other")), batch.column("members")):
-                keys, comps, asks, sigs = _columns(members, ("key", "comp", "asks", "sig"))
+                keys, comps, asks, sigs, own = _columns(members, ("key", "comp", "asks", "sig", "own"))
+                earlier = members.values.field("earlier").flatten().to_numpy(zero_copy_only=False)
+                earlier, own = earlier.reshape(len(keys), len(earlier) // len(keys)), np.array(own)
                 table_, found = _matrix(sigs), np.zeros(len(keys), bool)
                 number = {c: k for k, c in enumerate(comps)}
                 of = np.array([number[c] for c in comps])
                 for k in np.flatnonzero(asks):
-                    rest = np.flatnonzero(of != of[k])
+                    rest = np.flatnonzero((of != of[k]) & ((own != own[k]) | (own < 0)))
                     near = rest[possible(table_[k], table_[rest], least)]
+                    near = near[~(earlier[near] == earlier[k]).any(axis=1)]
                     if len(near):
                         found[near] = found[k] = True
                 out += [(bucket.as_py(), part.as_py(), other.as_py(), keys[k], comps[k], asks[k], sigs[k]) for k in np.flatnonzero(found)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
 
-    return _gathered(rows, ["key", "comp", "asks", "sig"]).mapInArrow(run, _CELL_SCHEMA)
+    return _gathered(rows, ["key", "comp", "asks", "sig", "own", "earlier"]).mapInArrow(run, _CELL_SCHEMA)
 
 
 def confirmed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
@@ -276,20 +287,29 @@ def confirmed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
     return _gathered(rows, ["key", "comp", "asks", "sig", "hashes"]).mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame | None:
-    """(a, b): links that hold together the nodes of ``sets`` (key, doc_id, row, bands, sig) that are similar, or None.
+def linked(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame | None:
+    """(node, component) of the nodes of ``sets`` (key, doc_id, row, bands, sig) that are similar to others, or None if none is.
 
     Signatures travel to the buckets with two components, sets only for members that some signature leaves possible.
     """
     least, found, comps = least_matches(percent), [], None
     for low, high in ROUNDS:
-        nodes = sets.select("key", F.explode(F.slice("bands", low + 1, high - low)).alias("bucket"))
-        for alone in (True, False):
+        nodes = sets.select("key", F.posexplode(F.slice("bands", low + 1, high - low)).alias("band", "bucket")).withColumn("band", F.col("band") + low)
+        crowded = settle(nodes.groupBy("bucket").count().where("count > 1"))
+        n_buckets, largest = crowded.agg(F.count(F.lit(1)), F.max("count")).first()
+        if not n_buckets:
+            continue
+        buckets = crowded.select("bucket")
+        nodes = settle(nodes.join(F.broadcast(buckets) if n_buckets * 16 <= LOOKUP_BYTES else buckets, "bucket"))
+        # Parts of large buckets are linked first, while every node is a component of its own.
+        parted = comps is None and largest > CELL
+        for alone in (True, False) if parted else (False,):
             if comps is None:
                 members = nodes.withColumn("comp", F.col("key"))
             else:
                 members = nodes.join(comps.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-            rows = cells(members, alone).join(sets.select("key", "sig"), "key")
+            placed = cells(members, alone, parted).join(sets.select("key", "sig", "bands"), "key")
+            rows = placed.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
             some = settle(screened(rows, least))
             if some.isEmpty():
                 continue
@@ -298,7 +318,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, shingle: int
             new = settle(confirmed(some.join(full, "key"), least, percent).distinct())
             if not new.isEmpty():
                 found.append(new)
-                comps = settle(components(reduce(DataFrame.union, found)))
+                comps = settle(components(reduce(DataFrame.union, found), EDGES))
     return comps
 
 
@@ -314,13 +334,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     sets = rows.where("key is not null").groupBy("key").agg(first, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sets = written(sets.select("key", "least.doc_id", "least.row", "bands", "sig"), "minhash-sets")
-    comps = links(docs, sets, percent, shingle)
+    comps = linked(docs, sets, percent, shingle)
     ids = sets.select("key", "doc_id")
     if comps is not None:
         joined = settle(ids.join(comps.withColumnRenamed("node", "key"), "key"))
         named = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        linked = joined.join(named, "component").select("key", "component_id")
-        ids = ids.join(linked.withColumnRenamed("component_id", "_linked").withColumn("_is", F.lit(True)), "key", "left")
+        placed = joined.join(named, "component").select("key", "component_id")
+        ids = ids.join(placed.withColumnRenamed("component_id", "_linked").withColumn("_is", F.lit(True)), "key", "left")
         ids = ids.select("key", F.when(F.col("_is"), F.col("_linked")).otherwise(F.col("doc_id")).alias("doc_id"))
     ids = settle(ids.withColumnRenamed("doc_id", "component_id"))
     empty = rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -54,12 +54,13 @@ def same_text(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, edges_a_task: int | None = None) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); the component is its least node.
 
     Alternates large and small stars: every node's neighbours move to its least neighbour until only stars are
     left, which takes logarithmically many rounds. A node with many links is aggregated on the map side and its
-    joins can be split, so it isn't gathered anywhere. Links with a null or equal ends say nothing.
+    joins can be split, so it isn't gathered anywhere. Links with a null or equal ends say nothing. ``edges_a_task``:
+    few edges are read by few tasks, so that a round leaves few shuffle files.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
     before = _digest(edges)
@@ -70,6 +71,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         edges = settle(small.where("u <> v").distinct())
+        if edges_a_task:
+            edges = edges.coalesce(1 + before[0] // edges_a_task)
         after = _digest(edges)
         if after == before:
             break
