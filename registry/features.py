@@ -281,10 +281,10 @@ _KEY_PARTS = "'semantic_score', dataset, feature, replace(feature, '_', ' '), pr
 _KEY = f"substr(sha256(concat_ws(chr(31), {_KEY_PARTS.format(provider=chr(39) + 'rules' + chr(39) + ', ')})), 1, 24)"
 _OLD_KEY = f"substr(sha256(concat_ws(chr(31), {_KEY_PARTS.format(provider='')})), 1, 24)"
 _CACHE_DRAW = _U("'cache'", "prompt_variant", _NAME)
-_RISKY = f"list_has_any({sql.tokens()}, {sql.texts(sql.RISKY)})"
+_RISKY = f"list_has_any({sql.tokens()}, {sql.texts(sql.RISKY_NAME_TERMS)})"
 _RULES_A = f"""
   SELECT dataset, feature, prompt_variant,
-    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS semantic_relevance,
+    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL_NAME_PARTS))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS semantic_relevance,
     CASE WHEN plain THEN 1.0::DOUBLE WHEN risky THEN 0.15::DOUBLE ELSE 0.85::DOUBLE END AS prediction_time_availability,
     CASE WHEN plain THEN 0.0::DOUBLE WHEN risky THEN 0.9::DOUBLE ELSE 0.15::DOUBLE END AS leakage_risk,
     CASE WHEN plain THEN 'Relevance by name only.' WHEN risky THEN 'The name points to something known after the outcome.'

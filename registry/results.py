@@ -299,9 +299,9 @@ _WANTED = {"wanted": "SELECT n_name AS dataset FROM nation UNION ALL SELECT 'NOW
 
 _RULES_A_WORDS = f"""
   SELECT dataset, feature, prompt_variant, plain, CASE WHEN plain THEN 0.0::DOUBLE WHEN risky THEN 0.9::DOUBLE ELSE 0.15::DOUBLE END AS risk,
-    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS relevance,
+    CASE WHEN risky THEN 0.9::DOUBLE WHEN regexp_matches(lower(feature), {sql.text('|'.join(sql.SIGNAL_NAME_PARTS))}) THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS relevance,
     CASE WHEN plain THEN 1.0::DOUBLE WHEN risky THEN 0.15::DOUBLE ELSE 0.85::DOUBLE END AS available
-  FROM (SELECT *, list_has_any({sql.tokens()}, {sql.texts(sql.RISKY)}) AS risky FROM word_columns, prompts)"""
+  FROM (SELECT *, list_has_any({sql.tokens()}, {sql.texts(sql.RISKY_NAME_TERMS)}) AS risky FROM word_columns, prompts)"""
 
 SQL = {
     "acc_f1": sql.six("SELECT * FROM plain_metrics", "accuracy f1"),
