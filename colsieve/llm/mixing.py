@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colsieve.llm.shared import SPACE, attach, settle, table
+from colsieve.llm.shared import SPACE, attach, settle, table, with_copies
 
 SHARE = 1.5
 WEIGHTS = (5, 2, 1)
@@ -18,9 +18,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def place(doc_id: Column) -> Column:
-    """Where a document stands in its source's order: 60 bits of a hash of its id, the same in every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def digest() -> Column:
+    return F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit(""))
+
+
+def place() -> Column:
+    """Where a row (doc_id, digest, copy) stands in its source's order: 60 bits of a hash, the same in every run."""
+    parts = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.col("copy").cast("string"))
+    return F.conv(F.substring(F.md5(F.encode(parts, "UTF-8")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -80,7 +85,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _plan(docs: DataFrame, share: float, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
-    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")))
+    known = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest().alias("digest")))
+    placed = with_copies(known, ["source", "doc_id", "digest"]).withColumn("place", place())
+    sized = settle(placed.drop("digest", "copy"))
     sizes = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     return sized, thresholds(sized.select("source", "place", "size"), targets(sizes, share, weights, most))
 
@@ -92,8 +99,8 @@ def _times() -> Column:
 def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
-    Null texts have no words; null sources are one source, null ids one place in the order. Rows with equal ids of
-    one source are taken or left together. A source without words has target 0.
+    Null texts have no words; null sources are one source. The order goes by id, text and, where rows repeat, the number of
+    the copy, so that null and repeated ids are taken or left one by one. A source without words has target 0.
     """
     sized, cuts = _plan(docs, share, weights, most)
     return attach(sized, cuts, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
@@ -103,8 +110,11 @@ def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIG
     """The documents as the mix takes them: a row for each time."""
     _, cuts = _plan(docs, share, weights, most)
     cuts = cuts.select("source", F.struct("passes", "cut").alias("_mix"))
-    marked = attach(docs, cuts, "source").withColumn("_times", F.col("_mix.passes") + (place(F.col("doc_id")) <= F.col("_mix.cut")).cast("long"))
-    return marked.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = with_copies(docs.select("source", "doc_id", digest().alias("digest"), whole), ["source", "doc_id", "digest"])
+    placed = rows.select("source", place().alias("_place"), "_doc")
+    marked = attach(placed, cuts, "source").withColumn("_times", F.col("_mix.passes") + (F.col("_place") <= F.col("_mix.cut")).cast("long"))
+    return marked.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,8 +125,9 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || SUBSTR(MD5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
-  FROM {documents}
+         ('0x' || SUBSTR(MD5(CONCAT(COALESCE(doc_id::VARCHAR, ''), ':', digest, ':', copy)), 1, 15))::BIGINT AS place
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, doc_id, digest) - 1 AS copy
+        FROM (SELECT doc_id, source, text, COALESCE(MD5(text), '') AS digest FROM {documents}))
 ), named AS (
   SELECT source, SUM(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][(ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight

@@ -38,14 +38,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def _digest() -> Column:
+    """Key of equal texts; a null one is a text of its own."""
+    return F.md5(F.encode("text", "UTF-8"))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """(doc_id, fp, …): the fingerprint of every whole text as a signed long, and the columns ``more``."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", fp("text").alias("fp"), *more)
 
 
 def cover(bits: list[int], radius: int) -> list[int]:
@@ -122,6 +127,12 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         masks = [(c * len(ms) + i, m) for c, ms in finer.items() for i, m in enumerate(ms)]
 
 
+def _reached(each: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of all different fingerprints ``each`` (fp, …); a component is named by its least one."""
+    found = components(links(each.select("fp"), radius))
+    return each.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every document.
 
@@ -131,17 +142,25 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     marked = settle(fingerprints(docs, shingle))
     each = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reached = components(links(each.select("fp"), radius))
-    joined = each.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = each.join(_reached(each, radius), "fp")
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = settle(joined.join(named, "component").select("fp", "component_id"))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents without near-copies: the least doc_id of each component stays, once. Rows without doc_id stay."""
-    kept = near_copies(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
+    """The documents without near-copies: of each component one row stays, the one with the least doc_id, nulls last; among
+    its texts the one with the least digest. Rows equal in both are one, whichever extra columns they have.
+    """
+    marked = settle(fingerprints(docs.withColumn("_digest", _digest()), shingle, "_digest"))
+    rows = marked.groupBy("fp", "doc_id", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest", "_n")
+    each = settle(rows.groupBy("fp").agg(F.min(order).alias("least")))
+    kept = each.join(_reached(each, radius), "fp").groupBy("component").agg(F.min("least").alias("k"))
+    kept = settle(kept.select(F.col("k.doc_id").alias("_doc"), F.col("k._digest").alias("_kept"), F.col("k._n").alias("_n")))
+    found = docs.withColumn("_digest", _digest()).join(kept, F.col("_digest").eqNullSafe(F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    once = found.where("_n = 1").union(found.where("_n > 1").dropDuplicates(["doc_id", "_digest"]))
+    return once.select(docs.columns)
 
 
 def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colsieve.llm.shared import same_text, settle, table
+from colsieve.llm.shared import attach, row_hash, same_text, settle, table, with_copies
 
-SHARDS, ROUNDS = 8, 5
+SHARDS = 8
 #: Documents stand in an order of 24 hashed bits; linked ones by 12 bits of their link, then 12 of their own.
 BITS, HALF = 24, 12
 #: Documents are dealt out by size, those over the first part of a shard first, so that smaller ones level the sizes.
@@ -63,8 +63,8 @@ def propagate(linked: DataFrame, shards: int, target: float, rounds: int) -> Dat
     """``linked`` (…, link, link_rows, size, spot, shard) with the shards that label propagation ends at.
 
     In each round every link's sizes by shard are summed and joined back to its documents. A document votes for
-    the shard where most of its neighbours are, among those below their quota, if that beats its own; ties go to the
-    shard with most room. Movers to a shard are admitted in hash order of their links, so that whole links come
+    the shard where most of its neighbours are, among those below their quota, if that beats its own; neighbours count
+    up to the room that is left, so that a full shard's last sliver draws no large link; ties go to the shard with most room. Movers to a shard are admitted in hash order of their links, so that whole links come
     along, until linked documents fill it to ``target``. Stops when nothing moves.
     """
     salt = F.when(F.col("link_rows") > HOT_LINK, F.pmod(F.xxhash64("spot"), F.ceil(F.col("link_rows") / HOT_LINK))).otherwise(0)
@@ -76,7 +76,8 @@ def propagate(linked: DataFrame, shards: int, target: float, rounds: int) -> Dat
         if not opened:
             break
         tally = state.groupBy("link", "shard").agg(F.sum("size").alias("votes"), F.max("link_rows").alias("link_rows"))
-        voted = F.struct("votes", _by_shard(ranks, F.col("shard")).alias("rank"), "shard")
+        fits = F.least(F.col("votes").cast("double"), _by_shard(dict(enumerate(room)), F.col("shard")))
+        voted = F.struct(fits.alias("fits"), "votes", _by_shard(ranks, F.col("shard")).alias("rank"), "shard")
         wish = tally.groupBy("link").agg(
             F.max(F.when(F.col("shard").isin(opened), voted)).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "votes"))).alias("votes"), F.max("link_rows").alias("n")
         )
@@ -109,7 +110,7 @@ def level(linked: DataFrame, free: DataFrame, shards: int, target: float) -> Dat
         free = free.unionByName(linked.where(~stays))
         linked = linked.where(stays)
         size = _sizes(linked, shards)
-    free = free.withColumn("spot", _hash(BITS, "doc_id", "link", F.lit("free")).cast("int"))
+    free = free.withColumn("spot", _hash(BITS, "mark", F.lit("free")).cast("int"))
     done = linked
     free = free.select(linked.columns)
     tier = F.lit(len(TIERS))
@@ -138,32 +139,36 @@ def level(linked: DataFrame, free: DataFrame, shards: int, target: float) -> Dat
 def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """Add ``slot``: numbers from 0 without gaps in each shard, in hash order. Pieces of a shard are counted, then numbered alone."""
     bits = min(BITS, max(0, total // (shards * NUMBERED)).bit_length())
-    rows = rows.withColumn("leaf", _hash(BITS, "doc_id", "link").cast("int")).withColumn("leaf", F.shiftright("leaf", BITS - bits))
+    rows = rows.withColumn("leaf", _hash(BITS, "mark").cast("int")).withColumn("leaf", F.shiftright("leaf", BITS - bits))
     counts = rows.groupBy("shard", "leaf").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "leaf", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "leaf").orderBy(F.xxhash64("doc_id", "link"), "doc_id", "link"))
+    within = F.row_number().over(Window.partitionBy("shard", "leaf").orderBy("mark"))
     return rows.withColumn("row", within).join(starts, ["shard", "leaf"]).withColumn("slot", F.col("start") + F.col("row") - 1).drop("leaf", "row", "start")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``docs`` (doc_id, link, size, …) with ``shard`` and ``slot``; documents with the same ``link`` belong together.
 
     Shards are near equal by size; a link is cut only where a quota demands it. Documents start where a hash puts
     them, move by label propagation, and the ones without partners level the sizes. A null link, or one that a single
-    document has, links nothing. The result depends on the rows alone, not on their partitions.
+    document has, links nothing. Rows that are equal throughout are told apart by their number. Propagation ends when nothing moves, or
+    after ``rounds``, by default one for each shard: a round fills at least one shard for a link that is too large
+    for one. The result depends on the rows alone, not on their partitions.
     """
-    rows = settle(docs)
+    rounds = shards if rounds is None else rounds
+    copies = with_copies(settle(docs), docs.columns)
+    rows = settle(copies.withColumn("mark", F.xxhash64(row_hash(*docs.columns), "copy")).drop("copy"))
     total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     target = (total or 0) / shards
-    spot = (_hash(HALF, "link") * (1 << HALF) + _hash(HALF, "doc_id", "link")).cast("int")
-    start = F.pmod(F.xxhash64("doc_id", "link", F.lit("start")), F.lit(shards)).cast("int")
+    spot = (_hash(HALF, "link") * (1 << HALF) + _hash(HALF, "mark")).cast("int")
+    start = F.pmod(F.xxhash64("mark", F.lit("start")), F.lit(shards)).cast("int")
     shared = settle(rows.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("link_rows")).where("link_rows > 1"))
-    known = settle(rows.join(shared, "link", "left").withColumns({"spot": spot, "shard": start}))
+    known = settle(attach(rows, shared, "link").withColumns({"spot": spot, "shard": start}))
     linked = propagate(known.where("link_rows is not null"), shards, target, rounds)
     free = known.where("link_rows is null")
     placed = settle(level(linked.select(known.columns), free, shards, target).select(*rows.columns, "shard"))
-    return numbered(placed, count, shards)
+    return numbered(placed, count, shards).drop("mark")
 
 
 def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: White space of the word patterns: blank and the control characters from tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
@@ -175,3 +175,29 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str, how: str = "left") -> Da
         salt = F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.lit(SALTS)).cast("int")
         joined = rows.join(copies, rows[on].eqNullSafe(key) & (salt == F.col("_lookup._salt")), how)
     return joined.select(*[rows[c] for c in rows.columns], *[F.col(f"_lookup.{c}") for c in lookup.columns if c != on])
+
+
+def row_hash(*columns: str) -> Column:
+    """64-bit hash of columns that tells a null from every value, whichever column holds it."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
+def with_copies(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``copy``: the number, from 0, of each row among those with equal ``keys``.
+
+    Only rows that repeat are numbered: within pieces of the table, whose counts are summed, so that no task holds all
+    copies of a row. m copies have the numbers 0 to m - 1 in any layout; which copy has which is left open.
+    """
+    keyed = rows.withColumn("_key", row_hash(*keys))
+    many = settle(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1"))
+    if many.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    found = attach(keyed, many, "_key")
+    some = settle(found.where("_many is not null").withColumn("_piece", F.spark_partition_id()))
+    pieces = some.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.row_number().over(Window.partitionBy("_key", "_piece").orderBy(F.lit(0))) - 1
+    numbered = some.withColumn("_number", number).join(pieces, ["_key", "_piece"]).withColumn("copy", F.col("_before") + F.col("_number"))
+    once = found.where("_many is null").withColumn("copy", F.lit(0).cast("long"))
+    return once.select(*rows.columns, "copy").union(numbered.select(*rows.columns, "copy"))

@@ -67,7 +67,15 @@ def test_nulls_copies_long_texts_and_clashing_columns(spark):
     assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (None, 6), (9, 9)}
     kept = nc.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 9]
+
+
+def test_unlike_texts_of_one_id_and_rows_without_id(spark):
+    """Each component keeps one row, whatever ids its rows have."""
+    a, b, c, d = (" ".join(f"{x}{i * i % 997}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, c), (None, d), (None, d), (None, c), (3, b), (1, a)]
+    kept = nc.one_of_each(spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (2, c), (None, d)], key=str)
 
 
 def test_empty_table(spark):

@@ -69,6 +69,20 @@ def test_nulls_repeats_and_other_numbers_of_shards(spark, shards):
     laid_out(found, shards)
 
 
+@pytest.mark.parametrize("same", [[(7, "same", 11)] * 1500, [(None, None, 11)] * 2000, [(8, None, 5)] * 3000])
+def test_rows_that_repeat_are_parted(spark, same):
+    """Half of all rows or more are one row: sizes must stay even, linked copies in as few shards as hold them."""
+    rows = same + [(i, f"alone {i}", 1 + i % 40) for i in range(1000, 2500)]
+    docs = table_of(spark, rows)
+    found = sh.shard_documents(docs).collect()
+    sizes = laid_out(found)
+    assert max(sizes) <= 1.02 * sum(sizes) / 8 and min(sizes) >= 0.98 * sum(sizes) / 8
+    linked = Counter(r.shard for r in found if r.link == "same")
+    assert not linked or sum(n for _, n in linked.most_common(4)) > 0.9 * len(same)
+    again = sh.shard_documents(docs.repartition(5, "size")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, again), key=str)
+
+
 def test_empty_table(spark):
     assert sh.shard_documents(table_of(spark, [])).count() == 0
 
