@@ -68,7 +68,7 @@ def score_curve(counts: DataFrame, by: Sequence[str] = CELL, limit: int = ONE_TA
     rows = needs_buckets(counts, by, limit)
     if not rows:
         return _running(counts, by).select(*columns)
-    cut = order_buckets(counts, "score", rows, limit)
+    cut = order_buckets(counts, "score", rows, limit, by)
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     higher = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
+from colsieve.plans.settle import settle
+
 # A group of up to this many rows is sorted by one task.
 ONE_TASK_ROWS = 500_000
 
@@ -19,17 +20,13 @@ def needs_buckets(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS)
     return rows
 
 
-def order_buckets(df: DataFrame, column: str, rows: int, limit: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add ``_bucket``: larger values never fall into a smaller bucket. Null is the least value, NaN the greatest.
+def order_buckets(df: DataFrame, column: str, rows: int, limit: int = ONE_TASK_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_bucket``: within a group, larger values never fall into a smaller bucket. Null is the least value, NaN the greatest.
 
-    The splits are quantiles over the whole table, so a bucket holds about half
-    of ``limit`` rows, also if one group holds most of the table. ``df`` must be
-    settled and hold one row per group and value.
+    The buckets are range partitions by group and value, so the executors cut
+    them and the driver holds Spark's bounded sample only. A bucket has about half of
+    ``limit`` rows, also if one group holds most of the table. ``df`` must hold
+    one row per group and value; the result is written once, so that all uses see the same cut.
     """
-    buckets = max(2, -(-2 * rows // limit))
-    steps = [i / buckets for i in range(1, buckets)]
-    inner = sorted(set(df.approxQuantile(column, steps, 1.0 / (8 * buckets))))
-    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
-    known = df.withColumn("_known", F.coalesce(F.col(column), F.lit(0.0)))
-    cut = Bucketizer(splits=splits, inputCol="_known", outputCol="_bucket", handleInvalid="keep").transform(known)
-    return cut.withColumn("_bucket", F.when(F.col(column).isNull(), -1.0).otherwise(F.col("_bucket"))).drop("_known")
+    pieces = max(2, -(-2 * rows // limit))
+    return settle(df.repartitionByRange(int(pieces), *by, column).withColumn("_bucket", F.spark_partition_id()))

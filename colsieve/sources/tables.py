@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
 
-from colsieve.plans.settle import settle
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TEXT_ENCODINGS = ("UTF-8", "GBK")
-ALL_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -51,21 +51,32 @@ def _undecodable(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
+def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """CSV with a header line in an encoding that Spark's reader doesn't offer; types cost one extra scan.
+
+    Lines are read as bytes, so files are split over tasks as usual, and decoded in Arrow batches. The encoding
+    must not use the byte of a line feed inside characters, which holds for GBK and all that extend ASCII like it.
+    A byte sequence that the encoding doesn't know fails the query.
+    """
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([line.decode(encoding) for line in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([lines], names=["value"])
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(decoded, "value string")
+    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark.read.option("header", True).option("escape", '"').option("inferSchema", True)
+    return DataFrame(reader._jreader.csv(texts), spark)
+
+
 def read_checked_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV that must have a row and two columns; GBK is tried if the text is not UTF-8."""
     if not path_exists(spark, path) or spark.read.text(path).isEmpty():
         raise ValueError("the file is empty")
-    encoding = TEXT_ENCODINGS[0]
     if _undecodable(spark, path):
-        encoding = TEXT_ENCODINGS[1]
-    # Spark reads some encodings only where all Java encodings are allowed; other queries keep the session's setting.
-    before = spark.conf.get(ALL_CHARSETS, "false")
-    spark.conf.set(ALL_CHARSETS, "true" if encoding == TEXT_ENCODINGS[1] else before)
-    try:
-        df = nan_as_null(read_csv(spark, path, encoding=encoding))
-        df = settle(df) if encoding == TEXT_ENCODINGS[1] else df
-    finally:
-        spark.conf.set(ALL_CHARSETS, before)
+        df = nan_as_null(read_encoded_csv(spark, path, TEXT_ENCODINGS[1]))
+    else:
+        df = nan_as_null(read_csv(spark, path))
     if df.isEmpty():
         raise ValueError("the table has no rows")
     if len(df.columns) < 2:

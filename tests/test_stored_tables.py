@@ -82,6 +82,17 @@ def test_checked_csv(spark, tmp_path):
             tables.read_checked_csv(spark, str(path))
 
 
+def test_gbk_files_without_a_session_setting(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part, rows in (("1", ["1,值", "2,\"a,b\""]), ("2", ["3,"])):
+        (folder / f"part-{part}.csv").write_bytes("\n".join(["号,名", *rows, ""]).encode("gbk"))
+    before = spark.conf.getAll
+    df = tables.read_checked_csv(spark, str(folder))
+    assert df.dtypes == [("号", "int"), ("名", "string")] and spark.conf.getAll == before
+    assert sorted((r["号"], r["名"]) for r in df.collect()) == [(1, "值"), (2, "a,b"), (3, None)]
+
+
 def test_nan_is_missing(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.createDataFrame([(1.0,), (float("nan"),)], "v double").write.parquet(path)
