@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colsieve.functions.hashing import digest, hex_number, u01
+from colsieve.functions.hashing import digest, u01
 from colsieve.operators.target import label_text
 from colsieve.plans.settle import attach, settle
 
-# Leading hex digits of the row digest that form a histogram bucket. 65,536
-# buckets: of 10 billion rows of one class about 150,000 share the bucket in
-# which a cut lies.
+# Hex digits of the row digest by which the histogram's buckets are told apart,
+# and by which they are refined while too many rows share the bucket of a cut.
 BUCKET_DIGITS = 4
+DIGEST_DIGITS = 32
+# Rows of a bucket that one task ranks.
+ONE_TASK_ROWS = 500_000
 _KEYS = ("seed", "_label")
 
 
@@ -40,45 +42,51 @@ def split_cuts(
     validation: float = 0.2,
     test: float = 0.2,
     bucket_digits: int = BUCKET_DIGITS,
+    limit: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """(seed, _label, _train_end, _validation_end): last row of the parts of each class, in digest order.
 
     Only the target and the row id of ``df`` are read. A class may hold most of
     the table, so its rows are never sorted together: a histogram of digest
     prefixes finds the bucket in which each cut lies, and only the rows of these
-    buckets are ranked.
+    buckets go on. While one of them has more than ``limit`` rows, they are
+    counted again by longer prefixes. Rows that share the whole digest are one row
+    id's; the cut is the same whichever of them it falls on, so they aren't ranked.
     """
-    placed = _keyed(df.select(target, row_id), target, row_id, seeds).select(
-        *_KEYS, F.col(row_id).alias("_row"), "_digest", hex_number(F.substring("_digest", 1, bucket_digits)).alias("_bucket")
-    )
-    histogram = placed.groupBy(*_KEYS, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = histogram.select(
-        *_KEYS, "_bucket", "_n",
-        F.sum("_n").over(Window.partitionBy(*_KEYS).orderBy("_bucket")).alias("_upto"),
-        F.sum("_n").over(Window.partitionBy(*_KEYS)).alias("_size"),
-    )
+    rows = _keyed(df.select(target, row_id), target, row_id, seeds).select(*_KEYS, F.col(row_id).alias("_row"), "_digest")
     shares = (train, _second_cut(train, validation, test))
-    quotas = F.array(*[
-        F.struct(F.lit(i).alias("cut"), F.round(F.col("_size") * F.lit(share)).cast("long").alias("quota"))
-        for i, share in enumerate(shares, start=1)
-    ])
-    wanted = running.withColumn("_cut", F.explode(quotas)).select(
-        *_KEYS, "_bucket", F.col("_cut.cut").alias("cut"),
-        (F.col("_cut.quota") - (F.col("_upto") - F.col("_n"))).alias("_need"), "_n",
-    ).where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
-    # Both cuts of a class may lie in one bucket: one lookup row per bucket.
-    needs = wanted.groupBy(*_KEYS, "_bucket").agg(*[
-        F.max(F.when(F.col("cut") == i, F.col("_need"))).alias(f"_need{i}") for i in (1, 2)
-    ])
-    near = attach(placed, needs, [*_KEYS, "_bucket"], "inner")
-    ranked = near.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*_KEYS, "_bucket").orderBy("_digest", "_row"))
-    )
+    wanted, known = None, 0
+    while True:
+        digits = min(known + bucket_digits, DIGEST_DIGITS)
+        placed = rows.withColumn("_bucket", F.substring("_digest", 1, digits))
+        counts = placed.groupBy(*_KEYS, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.withColumn("_whole", F.substring("_bucket", 1, known))
+        before = F.sum("_n").over(Window.partitionBy(*_KEYS, "_whole").orderBy("_bucket")) - F.col("_n")
+        counts = counts.withColumn("_before", before)
+        if wanted is None:
+            size = F.sum("_n").over(Window.partitionBy(*_KEYS))
+            counts = counts.withColumns({f"_need{i}": F.round(size * F.lit(share)).cast("long") for i, share in enumerate(shares, start=1)})
+        else:
+            counts = attach(counts, wanted, [*_KEYS, "_whole"], "inner")
+        inside = [F.col(f"_need{i}") - F.col("_before") for i in (1, 2)]
+        # Both cuts of a class may lie in one bucket: one lookup row per bucket.
+        needs = settle(counts.select(*_KEYS, "_bucket", "_n", *[
+            F.when((need > 0) & (need <= F.col("_n")), need).alias(f"_need{i}") for i, need in enumerate(inside, start=1)
+        ]).where("_need1 IS NOT NULL OR _need2 IS NOT NULL"))
+        near = attach(placed, needs, [*_KEYS, "_bucket"], "inner")
+        largest = needs.agg(F.max("_n")).first()[0] or 0
+        if largest <= limit or digits == DIGEST_DIGITS:
+            break
+        rows, wanted = settle(near.select(*rows.columns)), needs.select(*_KEYS, F.col("_bucket").alias("_whole"), "_need1", "_need2")
+        known = digits
     last = F.struct("_digest", "_row")
-    return settle(ranked.groupBy(*_KEYS).agg(
-        F.max(F.when(F.col("_rank") == F.col("_need1"), last)).alias("_train_end"),
-        F.max(F.when(F.col("_rank") == F.col("_need2"), last)).alias("_validation_end"),
-    ))
+    if largest <= limit:
+        order = Window.partitionBy(*_KEYS, "_bucket").orderBy("_digest", "_row")
+        ranked = near.withColumn("_rank", F.row_number().over(order))
+        ends = [F.max(F.when(F.col("_rank") == F.col(f"_need{i}"), last)) for i in (1, 2)]
+    else:
+        ranked, ends = near, [F.max(F.when(F.col(f"_need{i}").isNotNull(), last)) for i in (1, 2)]
+    return settle(ranked.groupBy(*_KEYS).agg(ends[0].alias("_train_end"), ends[1].alias("_validation_end")))
 
 
 def apply_cuts(df: DataFrame, cuts: DataFrame, target: str, row_id: str, seeds: Sequence[int]) -> DataFrame:

@@ -100,6 +100,32 @@ def test_few_digest_digits_give_the_same_split(spark):
     assert parts(1).exceptAll(parts(4)).isEmpty()
 
 
+@pytest.mark.parametrize("digits", [1, 2])
+def test_crowded_buckets_of_a_split_are_refined(spark, digits):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    def cuts(digits, limit):
+        return split.split_cuts(orders, "o_orderstatus", "o_orderkey", [1, 2], bucket_digits=digits, limit=limit)
+    refined, plain = cuts(digits, 3), cuts(4, 10**6)
+    assert refined.count() == plain.count() > 0 and refined.exceptAll(plain).isEmpty()
+
+
+def test_split_of_one_id_that_most_rows_share(spark):
+    rows = spark.range(600).select(F.when(F.col("id") >= 200, F.col("id")).alias("id"), F.lit("a").alias("y"))
+    rows = rows.union(spark.range(400).select(F.lit(7), F.lit("a")))
+    cuts = split.split_cuts(rows, "y", "id", [1], limit=5, bucket_digits=8)
+    plain = split.split_cuts(rows, "y", "id", [1])
+    assert cuts.exceptAll(plain).isEmpty() and cuts.count() == 1
+
+
+def test_order_buckets_within_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") >= 3, F.col("id") * 7919 % 3001).cast("double").alias("score"))
+    cut = buckets.order_buckets(df, "score", 3000, 100, ["g"])
+    sizes = cut.groupBy("g", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("g", "_bucket").collect()
+    assert max(r["n"] for r in sizes) <= 100 and sum(r["n"] for r in sizes) == 3000
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]) if a["g"] == b["g"])
+    assert cut.where("score IS NULL").select("g", "_bucket").exceptAll(cut.groupBy("g").agg(F.min("_bucket"))).isEmpty()
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
