@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colsieve.functions.hashing import normal01, u01
 from colsieve.operators.profile import is_numeric
 from colsieve.plans.order_stats import exact_medians
+from colsieve.plans.settle import match
 
 
 class Leak(NamedTuple):
@@ -60,6 +61,27 @@ def require_count(count: int) -> None:
         raise ValueError(f"between 1 and {len(LEAKS)} leaks can be injected, not {count}")
 
 
+def refusals(columns: DataFrame, settings: DataFrame, by: str = "dataset", column: str = "feature") -> DataFrame:
+    """What is wrong with wanted injections, one row per setting: (``by``, n_leaks, noise_rate, refused_count, refused_rate, clashes).
+
+    ``settings`` holds ``by``, n_leaks and noise_rate, ``columns`` the columns of the tables, one a row. The rules are those of
+    ``inject_leaks``, for many tables at once: a count between 1 and all leaks, a rate of at least 0 and below 0.5, and no column
+    that is named like a leak to be injected; ``clashes`` lists these by name. A null count or rate is refused. Only columns
+    named like leaks are shuffled.
+    """
+    place = F.array_position(F.array(*[F.lit(name) for name in leak_names()]), F.col(column)).cast("int")
+    named = columns.select(by, F.col(column).alias("_name"), place.alias("_place")).where("_place > 0").distinct()
+    taken = named.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_name", "_place"))).alias("_taken"))
+    count, rate = F.col("n_leaks"), F.col("noise_rate")
+    refused = F.filter("_taken", lambda t: t["_place"] <= count)
+    return match(settings, taken, [by], "left").select(
+        by, "n_leaks", "noise_rate",
+        (~F.coalesce(count.between(1, len(LEAKS)), F.lit(False))).alias("refused_count"),
+        (~F.coalesce((rate >= 0.0) & (rate < 0.5), F.lit(False))).alias("refused_rate"),
+        F.coalesce(F.array_join(F.transform(refused, lambda t: t["_name"]), ","), F.lit("")).alias("clashes"),
+    )
+
+
 def require_fixed_profile(count: int = len(LEAKS), level_counts: Mapping[str, int] | None = None) -> None:
     """Snapshots always carry all leaks, so that runs stay comparable."""
     if count != len(LEAKS):

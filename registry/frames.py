@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colsieve.functions.hashing import u01
 from colsieve.operators import inject, metrics, select, semantic, split, stats, target as targets
 from colsieve.plans.experiment import offline_semantic
-from colsieve.plans.settle import settle
+from colsieve.plans.settle import attach, settle
 from colsieve.plans.spread import spread
 from colsieve.sources.snapshots import LabelledTable, TableSpec, labelled
 
@@ -178,15 +179,26 @@ BINS = {"account_balance": 0.01, "line_quantity": 0.1, "line_discount": 100.0}
 MICRO = 1_000_000
 
 
-def _cells(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per row and feature: the kept columns, feature, value as text."""
-    def value(c: str) -> Column:
-        numeric = c in NUMERIC or c in LEAK_NUMERIC
-        return (F.floor(F.col(c).cast("double") * BINS.get(c, 10.0)).cast("long") if numeric else F.col(c)).cast("string")
+FEATURES = (*NUMERIC, *CATEGORICAL, *LEAK_NUMERIC, *LEAK_CATEGORICAL)
 
-    features = (*NUMERIC, *CATEGORICAL, *LEAK_NUMERIC, *LEAK_CATEGORICAL)
-    entries = [F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features]
-    return df.select(*keep, F.inline(F.array(*entries)))
+
+def _value(c: str) -> Column:
+    """A feature's value as it is counted, as text."""
+    numeric = c in NUMERIC or c in LEAK_NUMERIC
+    return (F.floor(F.col(c).cast("double") * BINS.get(c, 10.0)).cast("long") if numeric else F.col(c)).cast("string")
+
+
+def _shares(train: DataFrame) -> DataFrame:
+    """(dataset, seed, base, of): the share of class 1 among the training rows, and a map value -> share for each of FEATURES.
+
+    Values are bins and categories, so the maps are as small as the bins are few; ``attach`` measures them before it sends them out.
+    """
+    share = F.floor(F.sum("y") * MICRO / F.count(F.lit(1))).cast("long").alias("share")
+    entries = [F.struct(F.lit(i).alias("i"), _value(c).alias("value")) for i, c in enumerate(FEATURES)]
+    cells = train.select("dataset", "seed", "y", F.inline(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("value")), *entries)))
+    counted = cells.where("value IS NOT NULL").groupBy("dataset", "seed", "i", "value").agg(share)
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("i") == i, F.struct("value", "share")))).alias(f"of_{c}") for i, c in enumerate(FEATURES)]
+    return counted.groupBy("dataset", "seed").agg(F.max(F.when(F.col("i") == -1, F.col("share"))).alias("base"), *maps)
 
 
 def predictions(spark: SparkSession, sf: str, ranked: DataFrame) -> DataFrame:
@@ -194,22 +206,29 @@ def predictions(spark: SparkSession, sf: str, ranked: DataFrame) -> DataFrame:
 
     The model counts: a feature's value stands for the share of class 1 among the training rows that have it, in whole
     millionths, the share among all training rows if there are none. A row's score is the mean over the chosen features.
-    Masked leaks have values that no training row has. All sums are of whole numbers.
+    Masked leaks have values that no training row has. All sums are of whole numbers. Test rows are not shuffled: they meet
+    the shares and the methods' choices of their table in one lookup each, and a row's features are summed side by side.
     """
     rows = split_leaky_orders(spark, sf)
-    train, test = (rows.where(F.col("part") == part) for part in ("train", "test"))
-    share = F.floor(F.sum("y") * MICRO / F.count(F.lit(1))).cast("long")
-    shares = _cells(train, "dataset", "seed", "y").groupBy("dataset", "seed", "feature", "value").agg(share.alias("share"))
-    base = train.groupBy("dataset", "seed").agg(share.alias("base"))
-    masked = inject.apply_mask(test, {l: inject.UNAVAILABLE if l in LEAK_CATEGORICAL else None for l in inject.leak_names()})
-    settings = test.withColumn("setting", F.lit("leaky")).unionByName(masked.withColumn("setting", F.lit("clean")))
-    chosen = select.top_k(ranked).select("dataset", "seed", "method", "feature")
-    seen = _cells(settings, "dataset", "seed", "setting", "row_id", F.col("y").alias("label")).join(chosen, ["dataset", "seed", "feature"])
-    known = seen.join(shares, ["dataset", "seed", "feature", "value"], "left").join(base, ["dataset", "seed"])
-    sums = known.groupBy("dataset", "seed", "method", "setting", "row_id", "label").agg(
-        F.sum(F.coalesce("share", "base")).alias("_sum"), (F.count(F.lit(1)) * MICRO).alias("_most")
+    shares = _shares(rows.where(F.col("part") == "train"))
+    chosen = select.top_k(ranked).groupBy("dataset", "seed", "method").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("feature") == c).alias(c) for c in FEATURES]
+    )
+    choices = chosen.groupBy("dataset", "seed").agg(F.collect_list(F.struct("method", "n", *FEATURES)).alias("choices"))
+    test = rows.where(F.col("part") == "test").select("dataset", "seed", "row_id", F.col("y").alias("label"), *[_value(c).alias(c) for c in FEATURES])
+    met = attach(attach(test, shares, ["dataset", "seed"], "inner"), choices, ["dataset", "seed"], "inner")
+    found = met.select(
+        "dataset", "seed", "row_id", "label", "base", F.explode("choices").alias("choice"),
+        *[F.coalesce(F.try_element_at(f"of_{c}", F.col(c)), F.col("base")).alias(c) for c in FEATURES],
     )
-    return sums.select(
+    leaks = set(inject.leak_names())
+    sums = {"leaky": [F.col(c) for c in FEATURES], "clean": [F.col("base") if c in leaks else F.col(c) for c in FEATURES]}
+    settings = F.array(*[
+        F.struct(F.lit(name).alias("setting"), reduce(add, [F.col("choice")[c] * v for c, v in zip(FEATURES, values)]).alias("_sum"))
+        for name, values in sums.items()
+    ])
+    scored = found.select("dataset", "seed", "row_id", "label", F.col("choice.method").alias("method"), (F.col("choice.n") * MICRO).alias("_most"), F.inline(settings))
+    return scored.select(
         "dataset", "seed", "method", "setting", "row_id", "label",
         (2 * F.col("_sum") > F.col("_most")).cast("int").alias("pred"), (F.col("_sum") / F.col("_most")).alias("score"),
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.operators import inject, prep, profile, split, target as targets
@@ -12,10 +14,12 @@ from colsieve.sources import results, snapshots, tables
 from registry import sql
 from registry.frames import (
     CATEGORICAL, LEAK_CATEGORICAL, LEAK_SEED, NUMERIC, SEEDS,
-    event_table, leaky_orders, order_base, order_bit, order_catalog, order_table, six, split_leaky_orders, split_orders, table, word_catalog,
+    event_table, leaky_orders, order_base, order_bit, order_catalog, order_table, six, split_leaky_orders, split_orders, table, word_catalog, word_columns,
 )
 
 EVENT_COLUMNS = ("event_type", "code", "shape", "gap", "kind", "hour", "user_id", "constant", "empty", "half")
+# A word that GBK writes in other bytes than UTF-8, as a column name and before values.
+GBK_WORD = "语言"
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -258,13 +262,42 @@ def checked_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def gbk_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A GBK copy of columns of the documents, read back through the checks on arrival."""
+    path = f"{_scratch(spark, 'gbk')}/documents.csv"
+    label = F.concat(F.lit(GBK_WORD), F.col("lang"))
+    lines = table(spark, sf, "documents").select(F.to_csv(F.struct("doc_id", label.alias("label"), "source", "n_chars")).alias("line"))
+
+    def encoded(batches):
+        head = pa.array([f"doc_id,{GBK_WORD},source,n_chars".encode("gbk")], pa.binary())
+        for i, batch in enumerate(batches):
+            rows = pa.array([line.encode("gbk") for line in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([head, rows]) if i == 0 else rows], names=["line"])
+
+    lines.mapInArrow(encoded, "line binary").select(F.col("line").cast("string").alias("value")).write.text(path)
+    return tables.read_checked_csv(spark, path).groupBy(F.col(GBK_WORD).alias("label"), "source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").cast("long").alias("n_chars"), F.max("doc_id").cast("long").alias("last_doc")
+    )
+
+
+def refused_injections(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and rates that follow from the table's number, checked against the names of the table's own columns."""
+    columns = word_columns(spark, sf)
+    number = F.substring_index("dataset", "_", -1).cast("long")
+    settings = columns.select("dataset").distinct().select(
+        "dataset", F.pmod(number, F.lit(13)).cast("int").alias("n_leaks"), (F.pmod(number, F.lit(23)) / 40.0 - 0.025).alias("noise_rate")
+    )
+    return inject.refusals(columns, settings)
+
+
 def read_or_none(spark: SparkSession, sf: str) -> DataFrame:
-    """A table that is there and one that isn't, and their row counts."""
+    """Tables that are there and one that isn't, and their row counts."""
     found = []
-    for name in ("region", "no_such_table"):
-        rows, there = tables.read_or_empty(spark, f"{sf}/{name}.parquet", table(spark, sf, "region").schema)
+    for name in ("region", "lineitem", "no_such_table"):
+        schema = table(spark, sf, "region" if name == "no_such_table" else name).schema
+        rows, there = tables.read_or_empty(spark, f"{sf}/{name}.parquet", schema)
         found.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(there).alias("found"), "n_rows"))
-    return found[0].unionByName(found[1])
+    return reduce(DataFrame.unionByName, found)
 
 
 QUERIES = {
@@ -280,6 +313,7 @@ QUERIES = {
     "mask_clean": mask_clean, "split_rows": split_rows, "split_counts": split_counts, "split_all_seeds": split_all_seeds,
     "impute_median": impute_median, "impute_mode": impute_mode, "scale": scale, "encode_slots": encode_slots,
     "stored_results": stored_results, "checked_csv": checked_csv, "read_or_none": read_or_none,
+    "gbk_csv": gbk_csv, "refused_injections": refused_injections,
 }
 
 
@@ -368,7 +402,14 @@ SQL = {
         counted="SELECT dataset, order_status, count(*) AS n_rows, sum(line_count)::BIGINT AS n_lines FROM order_table GROUP BY 1, 2",
     ),
     "checked_csv": "SELECT c_mktsegment, count(*) AS n_rows, max(c_custkey)::BIGINT AS last_key FROM customer GROUP BY 1",
-    "read_or_none": "SELECT 'region' AS name, true AS found, count(*) AS n_rows FROM region UNION ALL SELECT 'no_such_table', false, 0",
+    "read_or_none": "SELECT 'region' AS name, true AS found, count(*) AS n_rows FROM region UNION ALL SELECT 'lineitem', true, count(*) FROM lineitem UNION ALL SELECT 'no_such_table', false, 0",
+    "gbk_csv": f"SELECT '{GBK_WORD}' || lang AS label, source, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars, max(doc_id) AS last_doc FROM documents GROUP BY 1, 2",
+    "refused_injections": sql.with_tables(f"""
+      SELECT dataset, n_leaks, noise_rate, n_leaks NOT BETWEEN 1 AND {len(inject.LEAKS)} AS refused_count, NOT (noise_rate >= 0 AND noise_rate < 0.5) AS refused_rate,
+        coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM word_columns w JOIN (VALUES {_LEAK_ROWS}) AS l(position, name, kind, level, representation, rate) ON w.feature = l.name
+          WHERE w.dataset = s.dataset AND l.position < s.n_leaks), '') AS clashes
+      FROM (SELECT DISTINCT dataset, (number % 13)::INTEGER AS n_leaks, (number % 23) / 40.0::DOUBLE - 0.025::DOUBLE AS noise_rate
+        FROM (SELECT dataset, regexp_extract(dataset, '[0-9]+$')::BIGINT AS number FROM word_columns)) s"""),
     "kind_inference": sql.with_tables(" UNION ALL ".join(
         f"SELECT '{c}' AS feature, '{'numeric' if c in _TYPES else 'categorical'}' AS kind, count({c}) AS n_values FROM event_table" for c in EVENT_COLUMNS
     )),

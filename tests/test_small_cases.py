@@ -281,3 +281,16 @@ def test_mean_delta_is_difference_of_means(spark):
 def test_one_seed_has_no_deviation(spark):
     df = spark.createDataFrame([("t", "m", 0.12345)], "dataset string, method string, x double")
     assert one(report.mean_std_text(df, ["x"]), "x") == "0.123 +/- nan"
+
+
+def test_refused_injections(spark):
+    names = inject.leak_names()
+    columns = spark.createDataFrame([("a", names[0]), ("a", names[3]), ("a", "x"), ("b", names[9]), ("b", names[9]), (None, names[0])], "dataset string, feature string")
+    settings = spark.createDataFrame(
+        [("a", 4, 0.1), ("a", 3, 0.0), ("b", 9, 0.5), ("b", 11, -0.1), ("c", 0, None), (None, None, 0.2)], "dataset string, n_leaks int, noise_rate double"
+    )
+    found = [tuple(r) for r in inject.refusals(columns, settings).collect()]
+    assert sorted(found, key=str) == sorted([
+        ("a", 4, 0.1, False, False, ",".join(sorted((names[0], names[3])))), ("a", 3, 0.0, False, False, names[0]),
+        ("b", 9, 0.5, False, True, ""), ("b", 11, -0.1, True, True, names[9]), ("c", 0, None, True, True, ""), (None, None, 0.2, True, False, ""),
+    ], key=str)
