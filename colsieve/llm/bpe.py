@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsieve.llm.shared import table
 
+#: Words of more symbols than this are cut into independent parts in every round.
+LONG = 64
 #: Texts are read in pieces of about so many characters, words are kept for so many different ones.
 BLOCK, KEPT_WORDS = 1_000_000, 300_000
 NO_RANK = np.int32(2**31 - 1)
@@ -56,10 +58,22 @@ class Vocabulary:
     ranks: np.ndarray
     made: np.ndarray  # id made by each rank
     singly: np.ndarray  # ranks that may open a lower rank, merged one at a time
+    joints: np.ndarray  # sorted keys of pairs that some token may still hold side by side, however they grow
     pattern: str
     special: dict[str, int]
 
 
+def joint_keys(merges: list[tuple[str, str]], ids: dict[str, int], n: int) -> np.ndarray:
+    """Keys of the pairs that a merge can still bring together.
+
+    A merge of L and R holds symbols A and B side by side across its middle only if L ends with A and R begins with B.
+    Where neighbours are no such pair, nothing is ever merged over their border.
+    """
+    tails = {t: np.array([ids[t[k:]] for k in range(len(t)) if t[k:] in ids], np.int64) for t in {a for a, _ in merges}}
+    heads = {t: np.array([ids[t[:k]] for k in range(1, len(t) + 1) if t[:k] in ids], np.int64) for t in {b for _, b in merges}}
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[(tails[a][:, None] * n + heads[b][None, :]).ravel() for a, b in merges]]))
+
+
 def load(path: str) -> Vocabulary:
     """Read a tokenizer file of the kind: NFC, lower case, split by a pattern, byte letters, merges with word ends."""
     with open(path, encoding="utf-8") as file:
@@ -81,7 +95,7 @@ def load(path: str) -> Vocabulary:
     split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return Vocabulary(
         tokens, np.array([ids[c] for c in byte_letters()], np.int32), np.array([ids[c + suffix] for c in byte_letters()], np.int32),
-        keys[order], order.astype(np.int32), made, used[made] < np.arange(len(merges)),
+        keys[order], order.astype(np.int32), made, used[made] < np.arange(len(merges)), joint_keys(merges, ids, len(tokens)),
         split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"), {t["content"]: t["id"] for t in spec["added_tokens"]},
     )
 
@@ -92,6 +106,8 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
     Each round looks the pairs of all open words up by binary search, takes every word's lowest rank and merges
     its places from left to right. Words without a known pair are done. As a merge opens pairs of higher rank only,
     merging all places of a rank at once is merging one by one; the few ranks without this property merge singly.
+    A long word falls into parts wherever no token can ever lie over a border; parts merge independently of each other,
+    so that its rounds don't grow with its length.
     """
     raw = [w.encode() for w in words]
     sizes = np.array([len(r) for r in raw], np.int64)
@@ -99,9 +115,13 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
     ids = v.first[data]
     ids[np.cumsum(sizes) - 1] = v.last[data[np.cumsum(sizes) - 1]]
     word = np.repeat(np.arange(len(words)), sizes)
-    done_ids, done_words = [], []
+    place = np.arange(len(ids))  # of each symbol's first byte
+    long = bool(len(sizes)) and sizes.max() > LONG
+    done_ids, done_places = [], []
     while len(ids):
         keys = ids[:-1].astype(np.int64) * len(v.tokens) + ids[1:]
+        if long:
+            word, long = _parted(keys, word, v)
         at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
         rank = np.append(np.where((v.keys[at] == keys) & (word[:-1] == word[1:]), v.ranks[at], NO_RANK), NO_RANK)
         begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
@@ -110,8 +130,8 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
         closed = lowest == NO_RANK
         if closed.any():
             done_ids.append(ids[closed])
-            done_words.append(word[closed])
-            ids, word, rank, lowest = (x[~closed] for x in (ids, word, rank, lowest))
+            done_places.append(place[closed])
+            ids, word, place, rank, lowest = (x[~closed] for x in (ids, word, place, rank, lowest))
             if not len(ids):
                 break
         places = np.flatnonzero(rank == lowest)
@@ -122,11 +142,23 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
         ids[places] = v.made[rank[places]]
         stay = np.ones(len(ids), bool)
         stay[places + 1] = False
-        ids, word = ids[stay], word[stay]
+        ids, word, place = ids[stay], word[stay], place[stay]
     flat = np.concatenate([np.zeros(0, np.int32), *done_ids])
-    of = np.concatenate([np.zeros(0, np.int64), *done_words])
-    flat = flat[np.argsort(of, kind="stable")]
-    return flat, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
+    at = np.concatenate([np.zeros(0, np.int64), *done_places])
+    order = np.argsort(at)
+    return flat[order], np.searchsorted(at[order], np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _parted(keys: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, bool]:
+    """Words numbered anew, long ones cut at the borders that no token can lie over; and whether a long one is left."""
+    begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    counts = np.diff(np.append(begins, len(word)))
+    within = np.flatnonzero(np.repeat(counts > LONG, counts)[:-1] & (word[:-1] == word[1:]))
+    at = np.minimum(np.searchsorted(v.joints, keys[within]), len(v.joints) - 1)
+    new = word[1:] != word[:-1]
+    new[within[v.joints[at] != keys[within]]] = True
+    return np.append(0, np.cumsum(new)), bool(len(within))
+
 
 
 def _ranges(ranges: tuple[tuple[int, ...], ...]) -> str:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,46 +64,74 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def learn(texts: list[str], labels: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
-    """One pass of FTRL-proximal over the rows in order; changes the state."""
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    for i, y in enumerate(labels):
-        part = data[offsets[i] : offsets[i + 1]]
-        at = np.append(np.unique(features(part, np.array([0, len(part)]))[1]), 1 << BITS)
-        w = weights(z[at], n[at])
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -500, 500))) - y
-        z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
-        n[at] += g * g
+def learn(present: np.ndarray, y: int, z: np.ndarray, n: np.ndarray) -> None:
+    """One step of FTRL-proximal: a row's different features and its label; changes the state."""
+    at = np.append(present, 1 << BITS)
+    w = weights(z[at], n[at])
+    g = 1 / (1 + np.exp(-np.clip(w.sum(), -500, 500))) - y
+    z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
+    n[at] += g * g
+
+
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text in place of itself as its different features, in ascending order: at most 2**BITS, however long it is."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        low = 0
+        while low < len(batch):
+            high = max(int(np.searchsorted(offsets, offsets[low] + BLOCK, "right")) - 1, low + 1)
+            text, feature = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            both = np.unique(text << BITS | feature)
+            begins = np.searchsorted(both, np.arange(high - low + 1) << BITS)
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(both & ((1 << BITS) - 1), pa.int32()))
+            rest = [batch.column(c).slice(low, high - low) for c in ("shard", "turn", "toxic")]
+            yield pa.RecordBatch.from_arrays([*rest, lists], names=["shard", "turn", "toxic", "features"])
+            low = high
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of documents (doc_id, text) with ``labels`` (doc_id, toxic).
 
     About ``sample`` labels are chosen by a hash of the id, so that they may be broadcast; a document with several
-    labels has the greatest. Every shard passes over its rows in the same order each time; the shards' changes are
-    averaged by Spark. What reaches the driver is bounded by the number of weights.
+    labels has the greatest. The chosen texts are read once and written as lists of features. Every shard passes
+    over its rows in the same order each time, an Arrow batch after the other; the shards' changes are averaged by
+    Spark. What reaches the driver is bounded by the number of weights.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     some = labels.where(hashed < int((1 << 30) * min(1.0, sample / max(labels.count(), 1)) + 1)).withColumnRenamed("doc_id", "_doc")
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int")
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_doc")).select(shard.alias("shard"), F.xxhash64("doc_id").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_doc"))
+    texts = chosen.select(shard.alias("shard"), F.xxhash64("doc_id").alias("turn"), F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = written(texts.mapInArrow(_present, "shard int, turn long, toxic int, features array<int>"), "labelled")
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     context = docs.sparkSession.sparkContext
     for _ in range(EPOCHS):
         shared = context.broadcast((z, n))
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z0, n0 = shared.value
-            z1, n1 = z0.copy(), n0.copy()
-            group = group.sort_values(["turn", "text", "toxic"])
-            learn(group["text"].tolist(), group["toxic"].to_numpy(), z1, n1)
-            at = np.flatnonzero((z1 != z0) | (n1 != n0))
-            return pd.DataFrame({"at": at, "dz": (z1 - z0)[at], "dn": (n1 - n0)[at]})
+            here, z1, n1 = None, z0, n0
+
+            def changes() -> pa.RecordBatch:
+                at = np.flatnonzero((z1 != z0) | (n1 != n0))
+                columns = [pa.array(at, pa.int64()), pa.array((z1 - z0)[at]), pa.array((n1 - n0)[at]), pa.array(np.full(len(at), here, np.int32))]
+                return pa.RecordBatch.from_arrays(columns, names=["at", "dz", "dn", "shard"])
+
+            for batch in batches:
+                lists = batch.column("features")
+                for i, (of, y) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist())):
+                    if of != here:
+                        if here is not None:
+                            yield changes()
+                        here, z1, n1 = of, z0.copy(), n0.copy()
+                    learn(lists[i].values.to_numpy(), y, z1, n1)
+            if here is not None:
+                yield changes()
 
         # summed in a fixed order of shards, so that reruns agree to the last digit
-        parts = rows.groupBy("shard").applyInPandas(lambda key, group: run(group).assign(shard=key[0]), "at long, dz double, dn double, shard int")
-        changes = parts.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "dz", "dn"))).alias("x"))
+        dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn", "toxic", "features")
+        changes = dealt.mapInArrow(run, "at long, dz double, dn double, shard int").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "dz", "dn"))).alias("x"))
         total = [F.aggregate(f"x.{c}", F.lit(0.0), lambda s, x: s + x).alias(c) for c in ("dz", "dn")]
         moved = changes.select("at", *total).toPandas()
         z[moved["at"]] += moved["dz"] / SHARDS

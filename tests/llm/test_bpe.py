@@ -1,4 +1,6 @@
 import pickle
+import random
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -48,6 +50,17 @@ def test_any_text(library, vocabulary, texts):
     assert encoded(texts, vocabulary) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_words_are_exact_and_take_few_rounds(library, vocabulary):
+    draw = random.Random(1)
+    parts = ("abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "漢字仮名交文中国日本語", ["ing", "the", "tion", "er", "ly"])
+    texts = ["".join(draw.choices(letters, k=20_000)) for letters in parts] + ["the" * 9000 + "quick" * 3000]
+    texts += [" ".join("".join(draw.choices("etaoinshrdlu", k=draw.randint(50, 300))) for _ in range(300))]
+    assert encoded(texts, vocabulary) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    start = time.process_time()
+    encoded(["".join(draw.choices(parts[0], k=80_000))], vocabulary)
+    assert time.process_time() - start < 4
+
+
 def test_whole_texts_and_decoding(spark, library, vocabulary):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from colsieve.llm import toxicity as tx
 from colsieve.llm.shared import text_bytes
@@ -44,6 +47,46 @@ def test_features_stay_within_their_text():
         assert sorted(joined[1][joined[0] == k]) == sorted(own)
 
 
+def test_fit_is_a_plain_ftrl_loop_over_shards(spark):
+    docs, labels = docs_of(spark, 90)
+    hashed = docs.join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id").select(
+        "text", "y", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(tx.SHARDS)).alias("shard"), F.xxhash64("doc_id").alias("turn")
+    ).collect()
+    z, n = {}, {}
+    def weight(k, z, n):
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(zk) <= tx.L1 else (math.copysign(tx.L1, zk) - zk) / ((tx.BETA + math.sqrt(nk)) / tx.ALPHA + tx.L2)
+    for _ in range(tx.EPOCHS):
+        new_z, new_n = dict(z), dict(n)
+        for shard in range(tx.SHARDS):
+            z1, n1 = dict(z), dict(n)
+            for r in sorted((r for r in hashed if r.shard == shard), key=lambda r: r.turn):
+                data = np.frombuffer(r.text.encode(), np.uint8)
+                keys = {*tx.features(data, np.array([0, len(data)]))[1].tolist(), 1 << tx.BITS}
+                used = {k: weight(k, z1, n1) for k in keys}
+                g = 1 / (1 + math.exp(-sum(used.values()))) - r.y
+                for k in keys:
+                    before = n1.get(k, 0.0)
+                    z1[k] = z1.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / tx.ALPHA * used[k]
+                    n1[k] = before + g * g
+            for k in z1:
+                new_z[k] = new_z.get(k, 0.0) + (z1[k] - z.get(k, 0.0)) / tx.SHARDS
+                new_n[k] = new_n.get(k, 0.0) + (n1[k] - n.get(k, 0.0)) / tx.SHARDS
+        z, n = new_z, new_n
+    model = tx.fit(docs, labels)
+    assert {k for k in z if weight(k, z, n)} == set(np.flatnonzero(model.weights).tolist())
+    assert all(abs(weight(k, z, n) - model.weights[k]) < 1e-9 for k in z)
+
+
+def test_a_long_labelled_text_is_as_large_as_its_features(spark):
+    docs, labels = docs_of(spark, 40)
+    long = spark.createDataFrame([(5000, "the day was awful idiot " * 420_000, 0.0, "x", 1)], SCHEMA)
+    one = tx.fit(docs.union(long), labels.union(spark.createDataFrame([(5000, 1, "y")], labels.schema)))
+    short = spark.createDataFrame([(5000, "the day was awful idiot " * 4, 0.0, "x", 1)], SCHEMA)
+    two = tx.fit(docs.union(short), labels.union(spark.createDataFrame([(5000, 1, "y")], labels.schema)))
+    assert np.array_equal(one.weights, two.weights)
+
+
 def test_query_holds_out_and_bounds_scores(spark):
     found = tx.op6_toxicity(spark, SF_SMALL).collect()
     assert len(found) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
