@@ -6,11 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colsieve.llm.shared import table
+from colsieve.llm.shared import table, text_slices
 
 #: Bound of the fit: about so many labelled texts, chosen by a hash of their id, whatever the table's size.
 SAMPLE = 20_000
@@ -22,6 +21,8 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 #: Words are scored in pieces of about PIECE characters; the paths of a block of texts are walked together.
 BLOCK, PIECE = 6_000_000, 500_000
+#: Where whole rows are judged, about so many bytes of texts are unpacked at a time.
+SLICE = 2_000_000
 
 # First and last code points of the letters of scripts, from the Unicode block chart.
 SCRIPTS = (
@@ -260,10 +261,13 @@ def select_known(docs: DataFrame, model: Model, least: float, switch: float = SW
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        langs, scores, _ = read_texts([t or "" for t in texts], shared.value)
-        return pd.Series([lang != "und" for lang in langs], dtype=bool) & (scores >= least)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        kept = [np.zeros(0, bool)]
+        for low, high in text_slices(texts, SLICE):
+            langs, scores, _ = read_texts([t or "" for t in texts.slice(low, high - low).to_pylist()], shared.value)
+            kept.append(np.array([lang != "und" for lang in langs], bool) & (scores >= least))
+        return pa.array(np.concatenate(kept))
 
     return docs.where(known("text") if model.langs else F.lit(False))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,9 +47,9 @@ def _digest() -> Column:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
     """(doc_id, fp, …): the fingerprint of every whole text as a signed long, and the columns ``more``."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     return docs.select("doc_id", fp("text").alias("fp"), *more)
 

@@ -154,6 +154,16 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets - offsets[0]
 
 
+def text_slices(column, size: int):
+    """(first, end) of slices of an Arrow string column of about ``size`` bytes each, so that few texts are Python strings at once."""
+    _, offsets = text_bytes(column)
+    low = 0
+    while low < len(column):
+        high = max(int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1, low + 1)
+        yield low, high
+        low = high
+
+
 # Lookups that belong to every row.
 
 #: A lookup of at most this many rows and bytes is broadcast, after it was measured.
