@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from colsieve.functions.hashing import packed, unpacked
 from colsieve.operators import semantic
 from registry import features
 from tests.conftest import SF_SMALL
@@ -38,3 +39,24 @@ def test_entries_that_repeat_and_jobs_that_repeat(spark):
     assert semantic.cache_lookup(jobs, cache).where(F.col("hit") == "legacy").count() == 4
     assert [r.score_key for r in semantic.cache_misses(jobs, cache).collect()] == ["c"]
     assert semantic.cache_misses(jobs.union(jobs), cache).count() == 2
+
+
+def test_keys_move_as_bytes_and_come_back_as_they_were(spark):
+    keys = ["", "a", "ab", "AB", "0g", "00ff" * 6, "é", "a b", "ab\n", "\x01", "\x00", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", packed(F.col("k")).alias("p"))
+    found = rows.select("k", "p", unpacked(F.col("p")).alias("back"), F.octet_length("p").alias("n")).collect()
+    assert [r.back for r in found] == keys == [r.k for r in found]
+    assert len({bytes(r.p) for r in found if r.p is not None}) == len(keys) - 1
+    assert [r.n for r in found if r.k == "00ff" * 6] == [13]
+    jobs = spark.createDataFrame([(k, o) for k in keys for o in (None, "old", "x")], "score_key string, legacy_key string")
+    cache = spark.createDataFrame([("ab", 0.1), ("\x01", 0.2), ("old", 0.3)], ENTRY)
+    assert sorted(map(str, semantic.cache_misses(jobs, cache).collect())) == sorted(
+        str(r) for r in jobs.collect() if r.score_key not in ("ab", "\x01") and r.legacy_key != "old"
+    )
+
+
+def test_no_hex_text_of_a_key_is_shuffled(spark):
+    """The join's keys are bytes on both sides."""
+    text = plan(features.cache_misses(spark, SF_SMALL))
+    assert "hashpartitioning(score_key" in text and "packed" not in text
+    assert "unhex(" in text[text.index("hashpartitioning(score_key"):]
