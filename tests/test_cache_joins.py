@@ -60,3 +60,22 @@ def test_no_hex_text_of_a_key_is_shuffled(spark):
     text = plan(features.cache_misses(spark, SF_SMALL))
     assert "hashpartitioning(score_key" in text and "packed" not in text
     assert "unhex(" in text[text.index("hashpartitioning(score_key"):]
+
+
+def test_a_lookup_moves_keys_as_bytes(spark):
+    """All keys come back as they were, and no shuffle of the lookup carries their hex text."""
+    keys = ["", "a", "ab", "AB", "0g", "00ff" * 6, "é", "\x01", None]
+    jobs = spark.createDataFrame([(k, o) for k in keys for o in (None, "old", "00ff" * 6)], "score_key string, legacy_key string")
+    cache = spark.createDataFrame([("ab", 0.1), ("\x01", 0.2), ("old", 0.3), ("é", 0.4), (None, 0.5)], ENTRY)
+    found = semantic.cache_lookup(jobs, cache)
+    assert found.dtypes[:2] == jobs.dtypes
+    now = {"ab": 0.1, "\x01": 0.2, "é": 0.4}
+    expected = [(k, o, now.get(k, 0.3 if o == "old" else None)) for k, o in map(tuple, jobs.collect())]
+    assert sorted(map(str, map(tuple, found.select("score_key", "legacy_key", "leakage_risk").collect()))) == sorted(map(str, expected))
+    text = plan(features.cache_legacy(spark, SF_SMALL))
+    assert text.count("SortMergeJoin") == 2 and "unhex(" in text[text.index("hashpartitioning(score_key"):]
+
+
+def test_without_legacy_keys_there_is_one_join(spark):
+    jobs = semantic.with_cache_keys(spark.createDataFrame([("d", "f", "t", "p")], "dataset string, feature string, description string, prompt_variant string"), "lengths", "v1")
+    assert plan(semantic.cache_lookup(jobs, spark.createDataFrame([("k", 0.1)], ENTRY).repartition(2))).count("SortMergeJoin") == 1
